@@ -9,6 +9,7 @@ from reportloom.functions.arrays import let, literal_map, positions_where, slice
 from reportloom.functions.text import lines_of, strip, word_count
 
 MAX_HEADING = 90
+LONGEST_KIND = max(map(len, V.SECTION_KINDS))
 
 
 def section_kind(title: Column) -> Column:
@@ -28,23 +29,22 @@ def classify_heading(stripped: Column) -> Column:
 
     plain = F.lit(None).cast("string")
 
-    def rules(s, words, base):
-        numbered = F.when(
-            s.rlike(V.NUMBERED_HEADING) & (words <= 10),
-            section_kind(strip(_without_colons(F.regexp_replace(base, V.HEADING_NUMBER, "")))))
-        letters = F.regexp_replace(s, r"\P{L}", "")
-        capitals = letters.rlike(r"^\p{Lu}{2,}$") & (words <= 12)
-        label = s.endswith(":") & (words <= 10) & ~s.rlike(r"[.?!;]")
-        known = section_kind(base)
-        return (F.when(known.isNotNull(), yes(known))
-                .when(numbered.isNotNull(), yes(numbered))
-                .when(capitals, yes(plain))
-                .when((letters != "") & label, yes(plain))
-                .otherwise(no))
+    def rules(s, base):
+        # cheap tests come first; words are counted only for lines that could pass
+        def short(n):
+            return word_count(s) <= n
+
+        known = F.when(F.length(base) <= LONGEST_KIND, section_kind(base))
+        numbered = F.when(s.rlike(V.NUMBERED_HEADING) & short(10), section_kind(strip(
+            _without_colons(F.regexp_replace(base, V.HEADING_NUMBER, "")))))
+        capitals = s.rlike(r"^[^\p{L}]*(?:\p{Lu}[^\p{L}]*){2,}$") & short(12)
+        label = s.endswith(":") & ~s.rlike(r"[.?!;]") & s.rlike(r"\p{L}") & short(10)
+        kind = F.coalesce(known, numbered)
+        return F.when(kind.isNotNull(), yes(kind)).when(capitals | label, yes(plain)).otherwise(no)
 
     def checked(s):
-        return let(word_count(s), lambda words: F.when(s.endswith(".") & (words > 12), no).otherwise(
-            let(strip(_without_colons(F.lower(s))), lambda base: rules(s, words, base))))
+        return F.when(s.endswith(".") & (word_count(s) > 12), no).otherwise(
+            let(strip(_without_colons(F.lower(s))), lambda base: rules(s, base)))
 
     return F.when((stripped == "") | (F.length(stripped) > MAX_HEADING), no).otherwise(checked(stripped))
 
