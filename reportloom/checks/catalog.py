@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from reportloom.checks import ingest, retrieval  # noqa: F401
+from reportloom.checks import answers, comparing, ingest, retrieval  # noqa: F401

@@ -43,7 +43,7 @@ def tfidf_terms(text: Column, stop_words=V.ENGLISH_STOP_WORDS) -> Column:
 
 @dataclass
 class TermIndex:
-    """Index tables; every one is plain data and can be written and read back."""
+    """Index tables, written to the workspace when the index is built."""
 
     chunks: DataFrame         # scope, chunk, title, text, ...
     lexical: DataFrame        # scope, chunk, term, tf, dl   (tf 0: only in the title)
@@ -87,9 +87,9 @@ def build_index(chunks: DataFrame, scopes: DataFrame, stop_words=V.ENGLISH_STOP_
                   sizes, ["scope_id"], "term", salts).withColumn(
         "raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     means = raw.groupBy("scope_id").agg(F.avg("raw_idf").alias("mean_idf"))
-    lexical_terms = _lookup(raw, means, ["scope_id"], "term", salts).select(
-        "scope_id", "term", "avgdl",
-        F.when(F.col("raw_idf") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw_idf")).alias("idf"))
+    lexical_terms = materialize(_lookup(raw, means, ["scope_id"], "term", salts).select(
+        "scope_id", "term", "avgdl", F.when(F.col("raw_idf") < 0, F.col("mean_idf") * EPSILON)
+        .otherwise(F.col("raw_idf")).alias("idf")), "lexical_terms")
 
     counts = grouped_counts(tfidf_terms(F.col("text"), stop_words))
     vector = materialize(scoped.select(*CHUNK_KEY, F.explode(counts).alias("p")).select(
@@ -99,8 +99,8 @@ def build_index(chunks: DataFrame, scopes: DataFrame, stop_words=V.ENGLISH_STOP_
     ).select("scope_id", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     vector_terms = materialize(vector_terms, "vector_terms")
     weights = _lookup(vector, vector_terms, ["scope_id", "term"], "doc_id", salts)
-    norms = weights.groupBy(*CHUNK_KEY).agg(
-        F.sqrt(F.sum(F.pow((F.log("tf") + 1) * F.col("idf"), 2))).alias("norm"))
+    norms = materialize(weights.groupBy(*CHUNK_KEY).agg(
+        F.sqrt(F.sum(F.pow((F.log("tf") + 1) * F.col("idf"), 2))).alias("norm")), "norms")
     return TermIndex(scoped, lexical, lexical_terms, vector, vector_terms, norms, salts)
 
 
