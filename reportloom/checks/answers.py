@@ -201,3 +201,10 @@ def _(spark, sf_dir):
         F.lit("").alias("quote"))
     parts = corpus.read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"))
     return A.citation_log(cites, parts, 20).select("doc_id", "created_at", "query_id", "ref", "n")
+
+
+@check("q4_evidence_security", with_(ANSWER_SQL, """
+SELECT query_id, CAST(count(*) FILTER (regexp_matches(text, '(?i)ignore all previous instructions')) AS INT) AS suspicious_evidence
+FROM qx LEFT JOIN ev USING (query_id) GROUP BY query_id"""))
+def _(spark, sf_dir):
+    return answers(spark, sf_dir).select("query_id", "suspicious_evidence")

@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
-from reportloom.checks import answers, comparing, ingest, retrieval  # noqa: F401
+from reportloom.checks import (  # noqa: F401
+    answers, comparing, ingest, operations, retrieval, summaries)
