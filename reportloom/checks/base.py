@@ -139,7 +139,8 @@ paged AS (
   SELECT doc_id, page_number, string_agg(para, {NL} || {NL} ORDER BY i) AS text
   FROM walk JOIN paras USING (doc_id, i) GROUP BY ALL)"""
 
-HOT = f"""{PAGED},
+def hot_sql(paged: str) -> str:
+    return f"""{paged},
 plines AS (
   SELECT doc_id, page_number, unnest(string_split(text, {NL})) AS line,
     generate_subscripts(string_split(text, {NL}), 1) AS ln FROM paged),
@@ -152,7 +153,12 @@ hot AS (
   WHERE s <> '' AND len(s) <= 90 AND NOT {IS_PAGE_NO.format(s='s')} AND n >= 3
   GROUP BY doc_id, fp, n HAVING count(DISTINCT page_number) >= greatest(3, CAST(floor(n * 0.7) AS INT)))"""
 
-CLEANED = f"""{HOT},
+
+HOT = hot_sql(PAGED)
+
+
+def cleaned_sql(hot: str) -> str:
+    return f"""{hot},
 kept AS (
   SELECT pl.*, regexp_replace(s, '[ \\t]{{2,}}', ' ', 'g') AS k,
     s <> '' AND ({IS_PAGE_NO.format(s='s')} OR hot.fp IS NOT NULL) AS dropped
@@ -169,5 +175,19 @@ cleaned AS (
   JOIN paged p USING (doc_id, page_number))"""
 
 
+CLEANED = cleaned_sql(HOT)
+
+# every owner is a document, every report one of its pages
+DOSSIER = f"""{REPORT},
+paged AS (
+  SELECT owner_id AS doc_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY created_at, doc_id) AS INT) AS page_number,
+    clinic || ' - Visit Report' || repeat({NL}, 2) || 'Patient Information' || {NL} || 'Patient: Customer ' || owner_id || {NL}
+    || 'Referring Physician: ' || doctor || {NL} || 'MRN: 000-' || mrn || repeat({NL}, 2) || 'Specimen' || {NL} || 'Type: Venous blood' || {NL}
+    || 'Collected: ' || date_text || repeat({NL}, 2) || 'Laboratory Results' || {NL} || labs || repeat({NL}, 2) || 'Medications' || {NL} || meds
+    || repeat({NL}, 2) || 'Assessment and Plan' || {NL} || plan || repeat({NL}, 2) || 'Notes' || {NL} || notes || {NL} || 'Page 1 of 1' AS text
+  FROM rnotes)"""
+DOSSIER_CLEANED = cleaned_sql(hot_sql(DOSSIER))
+
+
 def with_(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes} {select}"

@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from reportloom.checks import base as B
 from reportloom.checks.base import with_
-from reportloom.checks.ingest import ENTITY_SQL, chunks, entities, reports
+from reportloom.checks.ingest import (
+    ENTITY_SQL, reports, stored_chunks, stored_entities, stored_measurements)
 from reportloom.checks.registry import check
 from reportloom.functions import normalize as N, text as T, vocab as V
 from reportloom.operators import compare as A, extract as X
-from reportloom.plans import ingest
 from reportloom.sources import corpus, render
 
 
 def text_measurements(spark, sf_dir):
-    found = X.extract_measurements(ingest.sections_of(reports(spark, sf_dir)))
-    return found.withColumn("ord", F.struct("section_idx", "line_idx"))
+    return stored_measurements(spark, sf_dir).withColumn("ord", F.struct("section_idx", "line_idx"))
 
 
 def pairs(spark, sf_dir):
@@ -103,8 +102,7 @@ def _(spark, sf_dir):
 @check("a5_compare_entities", with_(_ENT, """
 SELECT pair_id, upper(entity_type[1:1]) || entity_type[2:] || 's' AS category, item, change_type FROM terms"""))
 def _(spark, sf_dir):
-    return A.compare_entities(pairs(spark, sf_dir), entities(
-        spark, sf_dir, X.extract_medications, X.extract_organizations, X.extract_people)).drop("page_number")
+    return A.compare_entities(pairs(spark, sf_dir), stored_entities(spark, sf_dir)).drop("page_number")
 
 
 @check("a6_comparison_citations", with_(_FIRST, f"""
@@ -114,7 +112,7 @@ FROM (SELECT pair_id, CASE change_type WHEN 'removed' THEN 1 WHEN 'added' THEN 2
   UNION ALL SELECT pair_id, CASE change_type WHEN 'removed' THEN 1 WHEN 'added' THEN 2 ELSE 0 END, key, 1, db,
     {_VALUE.format(r='rb', u='ub', f='flb')} FROM cmp WHERE db IS NOT NULL)"""))
 def _(spark, sf_dir):
-    return A.comparison_citations(compared(spark, sf_dir), pairs(spark, sf_dir), chunks(spark, sf_dir))
+    return A.comparison_citations(compared(spark, sf_dir), pairs(spark, sf_dir), stored_chunks(spark, sf_dir))
 
 
 _SUMMARY = f"""{_FIRST}, {_ENT.replace(B.LAB + ',', '', 1).replace(B.PAIRS + ',', '', 1).lstrip()},
@@ -129,8 +127,7 @@ SELECT *, 'Compared ' || compared || ' recorded values and terms: ' || changed |
   || removed || ' no longer mentioned, ' || unchanged || ' unchanged. All differences are stated as recorded-value changes without clinical interpretation.' AS summary
 FROM tally"""))
 def _(spark, sf_dir):
-    terms = A.compare_entities(pairs(spark, sf_dir), entities(
-        spark, sf_dir, X.extract_medications, X.extract_organizations, X.extract_people))
+    terms = A.compare_entities(pairs(spark, sf_dir), stored_entities(spark, sf_dir))
     return A.comparison_summary(compared(spark, sf_dir), terms)
 
 
@@ -180,7 +177,7 @@ SELECT o_orderkey AS doc_id, '{V.INTERNAL_SCAN} 2 distinct dates detected; only
   || CASE WHEN o_orderkey IN (SELECT pair_id FROM conf) THEN '' ELSE ' {V.NO_CONFLICTS}' END AS notes FROM orders"""))
 def _(spark, sf_dir):
     docs = reports(spark, sf_dir)
-    return A.internal_notes(docs, entities(spark, sf_dir, X.extract_dates), A.internal_conflicts(
+    return A.internal_notes(docs, stored_entities(spark, sf_dir), A.internal_conflicts(
         text_measurements(spark, sf_dir))).select("doc_id", F.array_join("notes", " ").alias("notes"))
 
 
@@ -190,6 +187,6 @@ SELECT pair_id, concat_ws(' ', CASE WHEN a.o_orderdate <> b.o_orderdate THEN '{V
 FROM pairs JOIN orders a ON a.o_orderkey = doc_a JOIN orders b ON b.o_orderkey = doc_b"""))
 def _(spark, sf_dir):
     p = pairs(spark, sf_dir)
-    dates = X.document_dates(entities(spark, sf_dir, X.extract_dates))
+    dates = X.document_dates(stored_entities(spark, sf_dir))
     return A.pair_notes(p, dates, A.value_conflicts(p, text_measurements(spark, sf_dir))).select(
         "pair_id", F.array_join("notes", " ").alias("notes"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from reportloom.checks import base as B
 from reportloom.checks.base import NL, trim, with_
 from reportloom.checks.registry import check
 from reportloom.functions import normalize as N, text as T, vocab as V
-from reportloom.functions.arrays import let
 from reportloom.operators import chunk as C, extract as X, pages as P, structure as S
 from reportloom.plans import ingest
+from reportloom.plans.store import materialize, stored
 from reportloom.sources import corpus, files, render
 
 
@@ -23,6 +23,28 @@ def spaced_documents(spark, sf_dir):
         "doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
 
 
+# Later stages read the stored tables of the reports, as a service reads its database.
+
+def stored_sections(spark, sf_dir):
+    return stored(spark, sf_dir, "sections", build=lambda: materialize(
+        ingest.sections_of(reports(spark, sf_dir)), "sections"))
+
+
+def stored_entities(spark, sf_dir):
+    return stored(spark, sf_dir, "entities", build=lambda: materialize(
+        X.extract_entities(stored_sections(spark, sf_dir)), "entities"))
+
+
+def stored_measurements(spark, sf_dir):
+    return stored(spark, sf_dir, "measurements", build=lambda: materialize(
+        X.extract_measurements(stored_sections(spark, sf_dir)), "measurements"))
+
+
+def stored_chunks(spark, sf_dir):
+    return stored(spark, sf_dir, "chunks", build=lambda: materialize(
+        ingest.chunks_of(reports(spark, sf_dir)), "chunks"))
+
+
 # --- sources ------------------------------------------------------------------
 
 @check("s1_decode_text", f"SELECT doc_id, replace(text, chr(13), {NL}) AS text FROM documents")
@@ -145,13 +167,26 @@ def _(spark, sf_dir):
             .groupBy(T.line_fingerprint(F.col("line")).alias("fp")).agg(F.count("*").alias("n")))
 
 
-@check("p4_repeated_lines", with_(B.HOT, "SELECT doc_id, fp, n_pages FROM hot", True))
+def dossiers(spark, sf_dir):
+    """Every owner as a document whose pages are its first reports in time order."""
+    place = F.row_number().over(W.partitionBy("owner_id").orderBy("created_at", "doc_id"))
+    rows = reports(spark, sf_dir).withColumn("page_number", place).filter(F.col("page_number") <= P.MAX_PAGES)
+    return P.nest_pages(rows.select(F.col("owner_id").alias("doc_id"), "page_number", "text",
+                                    F.lit("text").alias("method")))
+
+
+@check("p4_repeated_lines", with_(B.DOSSIER_CLEANED, "SELECT doc_id, fp, n_pages FROM hot"))
 def _(spark, sf_dir):
-    hot = let(P.paginate_paragraphs(F.col("text")), lambda ps: P.repeated_lines(ps))
-    return spaced_documents(spark, sf_dir).select("doc_id", F.explode(hot).alias("h")).select(
+    return dossiers(spark, sf_dir).select("doc_id", F.explode(P.repeated_lines(F.col("pages"))).alias("h")).select(
         "doc_id", F.col("h.item").alias("fp"), F.col("h.n").alias("n_pages"))
 
 
+@check("p5_dossier_pages", with_(B.DOSSIER_CLEANED, "SELECT doc_id, page_number, text FROM cleaned"))
+def _(spark, sf_dir):
+    done = dossiers(spark, sf_dir)
+    return P.explode_pages(done, P.clean_pages(F.col("pages"))["pages"]).drop("method")
+
+
 @check("p5_drop_boilerplate", with_(B.CLEANED, """
 SELECT doc_id, CAST(sum(removed) AS INT) AS removed_lines, CAST(sum(squeezed) AS INT) AS squeezed_chars
 FROM cleaned GROUP BY doc_id""", True))
@@ -490,10 +525,6 @@ def _(spark, sf_dir):
     return ingest.chunks_of(reports(spark, sf_dir), render.report_tables(spark, sf_dir))
 
 
-def chunks(spark, sf_dir):
-    return ingest.chunks_of(reports(spark, sf_dir))
-
-
 @check("c5_chunk_corpus")
 def _(spark, sf_dir):
     """Chunks of the whole text corpus through pages, cleaning and sections."""

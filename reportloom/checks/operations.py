@@ -10,10 +10,12 @@ from reportloom.checks import base as B
 from reportloom.checks.answers import ANSWER_SQL, FINAL_SQL, answers
 from reportloom.checks.base import with_
 from reportloom.checks.comparing import _CROSS, _FIRST, compared, order_documents, pairs, text_measurements
-from reportloom.checks.ingest import ENTITY_SQL, chunks, entities, reports, spaced_documents
+from reportloom.checks.ingest import (
+    ENTITY_SQL, reports, spaced_documents, stored_chunks, stored_entities, stored_measurements,
+    stored_sections)
 from reportloom.checks.registry import check
 from reportloom.checks.retrieval import REPORT_SEARCH, report_questions, report_results
-from reportloom.operators import compare as A, evaluate as E, extract as X, manage as O, pages as P
+from reportloom.operators import compare as A, evaluate as E, manage as O, pages as P
 from reportloom.operators import retrieve as R
 from reportloom.plans import ingest
 from reportloom.plans.store import workspace
@@ -36,22 +38,22 @@ def _(spark, sf_dir):
 
 @check("o3_list_entities", with_(B.REPORT, f"SELECT doc_id, raw_text FROM ({ENTITY_SQL}) WHERE entity_type = 'medication'"))
 def _(spark, sf_dir):
-    return O.list_entities(entities(spark, sf_dir), "medication").select("doc_id", "raw_text")
+    return O.list_entities(stored_entities(spark, sf_dir), "medication").select("doc_id", "raw_text")
 
 
 @check("o4_facet_entities", with_(f"{B.REPORT}, e AS ({ENTITY_SQL})", """
 SELECT doc_id, entity_type, count(*) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, entity_type) AS INT) AS type_rank,
   array_to_string(list(raw_text ORDER BY raw_text, section_idx)[1:24], '|') AS texts FROM e GROUP BY doc_id, entity_type"""))
 def _(spark, sf_dir):
-    return O.facet_entities(entities(spark, sf_dir)).withColumn("texts", F.array_join("texts", "|"))
+    return O.facet_entities(stored_entities(spark, sf_dir)).withColumn("texts", F.array_join("texts", "|"))
 
 
 def counted(spark, sf_dir):
     docs = reports(spark, sf_dir).select("doc_id")
     return O.document_counts(docs, {
-        "sections": ingest.sections_of(reports(spark, sf_dir)),
-        "chunks": chunks(spark, sf_dir),
-        "measurements": X.extract_measurements(ingest.sections_of(reports(spark, sf_dir))),
+        "sections": stored_sections(spark, sf_dir),
+        "chunks": stored_chunks(spark, sf_dir),
+        "measurements": stored_measurements(spark, sf_dir),
         "tables": render.report_tables(spark, sf_dir)})
 
 
@@ -119,9 +121,10 @@ SELECT 'page-document' AS link, o_orderkey AS doc_id, 1 AS rows FROM orders WHER
 UNION ALL SELECT 'chunk-section', doc_id, count(*) FROM chk WHERE section_title = 'Notes' GROUP BY doc_id"""))
 def _(spark, sf_dir):
     """Documents still in processing and all Notes sections are taken away first."""
-    made = ingest.derive(reports(spark, sf_dir))
+    pages = P.explode_pages(reports(spark, sf_dir), P.paginate_paragraphs(F.col("text")))
+    sections = stored_sections(spark, sf_dir)
     known = order_documents(spark, sf_dir).filter("status = 'completed'")
-    return O.check_provenance(known, made.pages, made.sections.filter("title <> 'Notes'"), made.chunks)
+    return O.check_provenance(known, pages, sections.filter("title <> 'Notes'"), stored_chunks(spark, sf_dir))
 
 
 @check("o10_audit_rollup", """
@@ -247,8 +250,8 @@ def _(spark, sf_dir):
 
 
 @check("w3_rate_violations", """
-SELECT date_trunc('minute', ts) AS minute, user_id, count(*) AS actions FROM events GROUP BY ALL
-HAVING count(*) > 1 AND date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+SELECT minute, user_id, actions FROM (SELECT date_trunc('minute', ts) AS minute, user_id, count(*) AS actions FROM events GROUP BY 1, 2)
+WHERE actions > 1 AND minute + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def _(spark, sf_dir):
     """Minutes the watermark has closed with more than one action of a user."""
     out = scratch(spark, "rates")

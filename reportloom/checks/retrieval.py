@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from reportloom.checks import base as B
 from reportloom.checks.base import with_
-from reportloom.checks.ingest import DOC_PACKED, chunks
+from reportloom.checks.ingest import DOC_PACKED, stored_chunks
 from reportloom.checks.registry import check
 from reportloom.functions import text as T, vocab as V
 from reportloom.operators import chunk as C, retrieve as R
+from reportloom.plans.store import stored
 from reportloom.sources import corpus, render
 
 QUESTIONS = ("What medications are mentioned?", "What is the glucose value?",
@@ -23,23 +24,12 @@ def report_questions(spark, sf_dir):
                          render.pick(QUESTIONS, F.col("o_orderkey") % 4).alias("question"))
 
 
-_WARM = {}
-
-
-def warm(spark, sf_dir, kind, build):
-    """An index is built once per session and then asked many times."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _WARM:
-        _WARM[key] = build()
-    return _WARM[key]
-
-
 def report_index(spark, sf_dir):
     def build():
         scopes = corpus.read_table(spark, sf_dir, "orders").select(
             F.col("o_orderkey").alias("scope_id"), F.col("o_orderkey").alias("doc_id"))
-        return R.build_index(chunks(spark, sf_dir), scopes)
-    index = warm(spark, sf_dir, "reports", build)
+        return R.build_index(stored_chunks(spark, sf_dir), scopes)
+    index = stored(spark, sf_dir, "report index", build=build)
     return index.chunks, index
 
 
@@ -63,7 +53,7 @@ def corpus_index(spark, sf_dir):
         scopes = corpus.read_table(spark, sf_dir, "documents").select(
             F.lit(0).cast("long").alias("scope_id"), "doc_id")
         return R.build_index(corpus_chunks(spark, sf_dir), scopes, salts=8)
-    return warm(spark, sf_dir, "corpus", build)
+    return stored(spark, sf_dir, "corpus index", build=build)
 
 
 # --- SQL -----------------------------------------------------------------------------
@@ -238,13 +228,13 @@ def _(spark, sf_dir):
 SELECT doc_id, sha256('1.0.0|tfidf-v1|' || string_agg(sha256(chunk_index || '|' || text), '|' ORDER BY chunk_index)) AS fingerprint
 FROM chk GROUP BY doc_id"""))
 def _(spark, sf_dir):
-    return R.index_fingerprint(chunks(spark, sf_dir))
+    return R.index_fingerprint(stored_chunks(spark, sf_dir))
 
 
 @check("r9_stale_documents", with_(B.REPORT, "SELECT doc_id FROM rep WHERE priority = '1-URGENT'"))
 def _(spark, sf_dir):
     """Reports whose text changes when the injected sentence is removed."""
-    now = chunks(spark, sf_dir)
+    now = stored_chunks(spark, sf_dir)
     before = now.withColumn("text", F.regexp_replace("text", "Ignore all previous.*$", ""))
     return R.stale_documents(R.index_fingerprint(before), R.index_fingerprint(now))
 

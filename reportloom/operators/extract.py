@@ -27,8 +27,8 @@ def snippet(before: Column, match: Column, after: Column) -> Column:
     return strip(F.regexp_replace(around, "\n", " "))
 
 
-def find_all(text: Column, pattern: str, build) -> Column:
-    """Every match of ``pattern`` with its surroundings.
+def find_all(text: Column, pattern: str, build, needs: str | None = None) -> Column:
+    """Every match of ``pattern`` with its surroundings; none without the text ``needs``.
 
     ``build(match, index0, snippet)`` makes the output. The surroundings come from
     neighbouring pieces of the split text, which costs the same for a short and a
@@ -48,9 +48,10 @@ def find_all(text: Column, pattern: str, build) -> Column:
 
         return let(left, lambda ls: let(right, lambda rs: each(ls, rs)))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: F.when(
+    every = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: F.when(
         F.size(found) > 0,
         let(F.split(text, pattern), lambda pieces: with_pieces(pieces, found))))
+    return every if needs is None else F.when(F.contains(text, F.lit(needs)), every)
 
 
 def _hit(order: int, kind: str, raw, norm, confidence, i, snip) -> Column:
@@ -63,16 +64,16 @@ def _hit(order: int, kind: str, raw, norm, confidence, i, snip) -> Column:
         F.substring(snip, 1, 1000).alias("source_snippet"))
 
 
-def _dates(text, order, pattern, fmt, flags):
+def _dates(text, order, pattern, fmt, flags, needs=None):
     return find_all(text, flags + pattern, lambda m, i, s: let(
-        normalize_date(m, fmt), lambda d: _hit(order, "date", m, d["iso"], d["confidence"], i, s)))
+        normalize_date(m, fmt), lambda d: _hit(order, "date", m, d["iso"], d["confidence"], i, s)), needs)
 
 
 def extract_dates(text: Column) -> list[Column]:
-    return [_dates(text, 0, V.DATE_ISO, "iso", "(?U)"),
+    return [_dates(text, 0, V.DATE_ISO, "iso", "(?U)", "-"),
             _dates(text, 1, V.DATE_WORDS, "us_textual", "(?iU)"),
-            _dates(text, 2, V.DATE_SLASH, "us_numeric", "(?U)"),
-            _dates(text, 3, V.DATE_DASH, "dash", "(?U)")]
+            _dates(text, 2, V.DATE_SLASH, "us_numeric", "(?U)", "/"),
+            _dates(text, 3, V.DATE_DASH, "dash", "(?U)", "-")]
 
 
 def extract_medications(text: Column, suffixes=V.MEDICATION_SUFFIXES,
@@ -97,7 +98,7 @@ def extract_blood_pressure(text: Column) -> list[Column]:
     pattern = "(?iU)" + V.BLOOD_PRESSURE
     return [find_all(text, pattern, lambda m, i, s: _hit(
         7, "vitals", m, F.concat(F.regexp_extract(m, pattern, 1), F.lit("/"),
-                                 F.regexp_extract(m, pattern, 2), F.lit(" mmHg")), F.lit(1.0), i, s))]
+                                 F.regexp_extract(m, pattern, 2), F.lit(" mmHg")), F.lit(1.0), i, s), "/")]
 
 
 def extract_temperature(text: Column) -> list[Column]:
@@ -116,7 +117,7 @@ def extract_organizations(text: Column) -> list[Column]:
 
 def extract_people(text: Column) -> list[Column]:
     return [find_all(text, "(?U)" + V.PERSON, lambda m, i, s: _hit(
-        10, "person", m, F.lit(None), F.lit(None), i, s))]
+        10, "person", m, F.lit(None), F.lit(None), i, s), "Dr")]
 
 
 def extract_abbreviations(text: Column, abbreviations=V.ABBREVIATIONS) -> list[Column]:

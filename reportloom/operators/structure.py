@@ -17,7 +17,7 @@ def section_kind(title: Column) -> Column:
 
 
 def _without_colons(c: Column) -> Column:
-    return F.regexp_replace(c, ":+$", "")
+    return let(c, lambda t: F.when(t.endswith(":"), F.regexp_replace(t, ":+$", "")).otherwise(t))
 
 
 def classify_heading(stripped: Column) -> Column:

@@ -39,3 +39,18 @@ def materialize_all(tables):
     written = {f.name: materialize(getattr(tables, f.name), f.name)
                for f in fields(tables) if isinstance(getattr(tables, f.name), DataFrame)}
     return replace(tables, **written)
+
+
+_STORED: dict[tuple, object] = {}
+
+
+def stored(spark: SparkSession, *key, build):
+    """The result of ``build()``, made once per session and key.
+
+    Derived tables are written when documents come in and read by every later
+    question; this is the same for a session: built once, then read.
+    """
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _STORED:
+        _STORED[full] = build()
+    return _STORED[full]
