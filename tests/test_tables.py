@@ -113,7 +113,7 @@ def test_streamed_files(spark, tmp_path):
     (inbox / "one.txt").write_text("Labs\nSodium: 138 mmol/L and a little more text here.")
     intake.start_ingest(intake.stream_text_files(spark, str(inbox)), out, f"{out}/cp").awaitTermination()
     (inbox / "two.txt").write_text("tiny")
-    (inbox / "empty.txt").write_text("")
+    (inbox / "blank.txt").write_text(" \n")
     intake.start_ingest(intake.stream_text_files(spark, str(inbox)), out, f"{out}/cp").awaitTermination()
     status = [r.status for r in spark.read.parquet(f"{out}/status").collect()]
     assert sorted(status) == ["completed", "failed", "failed"]
