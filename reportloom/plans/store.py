@@ -2,7 +2,8 @@
 
 Tables used several times are written once to the shared folder that the session
 names in ``spark.checkpoint.dir``. A written table survives the loss of executors
-and cuts the lineage.
+and cuts the lineage. Where the setting is missing, only a local session may fall
+back to a folder of its own.
 """
 
 from __future__ import annotations
@@ -15,15 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+_OWN: dict[str, str] = {}
+
 
 def workspace(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-reportloom-")
-        spark.conf.set(SETTING, folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {SETTING} to a folder all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _OWN:
+        _OWN[key] = tempfile.mkdtemp(prefix="spark-reportloom-")
+    return _OWN[key]
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -34,6 +39,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialize_all(tables):
     """Write every DataFrame field of a dataclass instance."""
     written = {f.name: materialize(getattr(tables, f.name), f.name)
