@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm import simhash, substrings
+from reportloom.llm import hilbert, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,9 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document once its repeated 35-word windows are removed."""
     return substrings.removals(documents(spark, sf_dir))
+
+
+@query
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equal row counts along a Hilbert curve over language, source and length."""
+    return hilbert.assign(documents(spark, sf_dir))
