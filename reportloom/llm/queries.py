@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm import bpe, hilbert, packing, simhash, substrings
+from reportloom.llm import bpe, hilbert, packing, perplexity, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes decoded from them."""
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                        public_tokenizers.PATTERN)
+
+
+@query
+def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and whether its perplexity lies in the band of its language."""
+    return perplexity.judge(documents(spark, sf_dir))
