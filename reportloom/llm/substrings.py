@@ -18,7 +18,7 @@ Pass 2, exact grouping. Windows whose mark is estimated repeated travel under a
 hash of their words, packed into byte blobs by hash bucket. A block of text sends a hash
 once, however often it has it (repeats within the block are known on the spot), so a
 passage found in a third of all texts costs one record a block. A bucket with a hash
-from two places returns the places; there are ``buckets`` of them, four times the
+from two places returns the places, packed again by text, and every text gets one row; there are ``buckets`` of them, four times the
 session's shuffle partitions unless given.
 
 Cases: a null text has no words, as an empty one. Rows of equal id and text, null ids
@@ -159,15 +159,24 @@ def _repeated_estimate(marks: np.ndarray, bits: np.ndarray, log2_cells: int) ->
     return hit
 
 
-#: keys of texts with either packed windows of theirs or the known places of one of them
-_SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("windows", pa.binary()), ("at", pa.binary())])
+#: windows of texts packed by bucket (``keys`` are the texts'), or, without keys, places packed by bucket
+_SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("packed", pa.binary())])
+_PLACE = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("at", "<u4")])
 
 
-def _places(batch_keys: np.ndarray, doc: np.ndarray, at: np.ndarray):
-    """(keys of a text, word positions) for sorted ``doc``."""
-    heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
-    for a, b in zip(heads, np.append(heads[1:], len(doc)).astype(int) if len(doc) else []):
-        yield batch_keys[doc[a]].tobytes(), at[a:b].astype("<u4").tobytes()
+def _pack_places(places: np.ndarray, buckets: int) -> list[tuple[int, None, bytes]]:
+    """Places packed by the bucket of their text."""
+    to = (places["k1"] % buckets).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    places, to = places[order], to[order]
+    cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, int)
+    return [(int(to[a]), None, places[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(to)))]
+
+
+def _places(keys: np.ndarray, records: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(records), _PLACE)
+    out["k1"], out["k2"], out["at"] = keys[records["doc"], 0], keys[records["doc"], 1], records["at"]
+    return out
 
 
 def _send(bits, size: int, gram: int, log2_cells: int, buckets: int):
@@ -196,11 +205,7 @@ def _send(bits, size: int, gram: int, log2_cells: int, buckets: int):
                 head = np.append(True, (rec["h1"][1:] != rec["h1"][:-1]) | (rec["h2"][1:] != rec["h2"][:-1]))
                 group = np.cumsum(head) - 1
                 often = np.bincount(group)[group] > 1
-                out = []
-                known = rec[often]
-                known = known[np.lexsort((known["at"], known["doc"]))]
-                for n, (key, at) in enumerate(_places(keys[first:last], known["doc"], known["at"])):
-                    out.append((n % buckets, key, None, at))
+                out = _pack_places(_places(keys[first:last], rec[often]), buckets)
                 rec["doc"][often] = _KNOWN
                 rec = rec[head]
                 to = (rec["h1"] % np.uint64(buckets)).astype(np.int32)
@@ -212,18 +217,18 @@ def _send(bits, size: int, gram: int, log2_cells: int, buckets: int):
                     own = part["doc"] != _KNOWN
                     ids, place = np.unique(part["doc"][own], return_inverse=True)
                     part["doc"][own] = place
-                    out.append((int(to[a]), keys[first:last][ids].tobytes(), part.tobytes(), None))
+                    out.append((int(to[a]), keys[first:last][ids].tobytes(), part.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SENT.types)], schema=_SENT)
     return run
 
 
-def _group():
-    """Buckets to places of windows seen from two or more places; rows arrive sorted by bucket."""
+def _group(buckets: int, run_length: int = 2_000_000):
+    """Buckets of windows to packed places of windows seen from two or more places; rows sorted by bucket."""
     def exact(held):
         recs, keys, base = [], [], 0
-        for blob, records in held:
-            own = np.frombuffer(blob, np.int64).reshape(-1, 2)
-            part = np.frombuffer(records, _RECORD).copy()
+        for own, packed in held:
+            own = np.frombuffer(own, np.int64).reshape(-1, 2)
+            part = np.frombuffer(packed, _RECORD).copy()
             part["doc"][part["doc"] != _KNOWN] += np.uint32(base)
             recs.append(part)
             keys.append(own)
@@ -232,34 +237,58 @@ def _group():
         rec = rec[np.lexsort((rec["h2"], rec["h1"]))]
         head = np.append(True, (rec["h1"][1:] != rec["h1"][:-1]) | (rec["h2"][1:] != rec["h2"][:-1]))
         group = np.cumsum(head) - 1
-        rec = rec[(np.bincount(group)[group] > 1) & (rec["doc"] != _KNOWN)]
-        rec = rec[np.lexsort((rec["at"], rec["doc"]))]
-        return list(_places(keys, rec["doc"], rec["at"]))
+        return _places(keys, rec[(np.bincount(group)[group] > 1) & (rec["doc"] != _KNOWN)])
 
     def run(batches):
-        now, held = None, []
+        now, held, found, size = None, [], [], 0
+
+        def packed():
+            rows = _pack_places(np.concatenate(found), buckets)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
+                                               pa.array([r[2] for r in rows], pa.binary())], ["bucket", "packed"])
         for batch in batches:
-            out = []
-            for bucket, keys, windows, at in zip(*(c.to_pylist() for c in batch.columns)):
-                if windows is None:
-                    out.append((keys, at))
+            for bucket, keys, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if keys is None:
+                    found.append(np.frombuffer(blob, _PLACE))
+                    size += len(found[-1])
                     continue
-                if bucket != now:
-                    if held:
-                        out += exact(held)
-                    now, held = bucket, []
-                held.append((keys, windows))
-            yield from _keyed(out)
+                if bucket != now and held:
+                    found.append(exact(held))
+                    size += len(found[-1])
+                    held = []
+                now = bucket
+                held.append((keys, blob))
+                if size > run_length:
+                    yield packed()
+                    found, size = [], 0
         if held:
-            yield from _keyed(exact(held))
+            found.append(exact(held))
+        if found:
+            yield packed()
     return run
 
 
-def _keyed(rows: list[tuple]):
-    if rows:
-        keys = np.frombuffer(b"".join(k for k, _ in rows), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                                          pa.array([at for _, at in rows], pa.binary())], ["k1", "k2", "at"])
+def _by_text(batches):
+    """Packed places to one row per text; rows sorted by bucket."""
+    def rows(held):
+        places = np.unique(np.concatenate([np.frombuffer(b, _PLACE) for b in held]))
+        heads = np.flatnonzero(np.append(True, (places["k1"][1:] != places["k1"][:-1]) | (places["k2"][1:] != places["k2"][:-1])))
+        at = places["at"].astype("<u4")
+        return pa.RecordBatch.from_arrays(
+            [pa.array(places["k1"][heads]), pa.array(places["k2"][heads]),
+             pa.array([at[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(at)))], pa.binary())],
+            ["k1", "k2", "places"])
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now and held:
+                yield rows(held)
+                held = []
+            now = bucket
+            held.append(blob)
+    if held:
+        yield rows(held)
 
 
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW,
@@ -269,18 +298,19 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = spark.sparkContext.broadcast(sketch(docs, text_col, size, gram, depth, log2_cells))
     buckets = buckets or 4 * shuffle_parts(docs)
     sent = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text")).mapInArrow(
-        _send(bits, size, gram, log2_cells, buckets), "bucket int, keys binary, windows binary, at binary")
+        _send(bits, size, gram, log2_cells, buckets), "bucket int, keys binary, packed binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _group(), "k1 long, k2 long, at binary")
-    return found.groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
+        _group(buckets), "bucket int, packed binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _by_text, "k1 long, k2 long, places binary")
 
 
 def _kept(words: Words, rows, size: int) -> np.ndarray:
     """Which words stay, given the starts of repeated windows."""
     step = np.zeros(len(words) + size + 1, np.int32)
-    for r, blobs in enumerate(rows.column("places").to_pylist()):
-        if blobs:
-            at = np.unique(np.frombuffer(b"".join(blobs), "<u4")) + words.first[r]
+    for r, places in enumerate(rows.column("places").to_pylist()):
+        if places:
+            at = np.frombuffer(places, "<u4") + words.first[r]
             step[at] += 1
             step[at + size] -= 1
     return np.cumsum(step)[:len(words)] == 0
