@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm import bpe, hilbert, packing, perplexity, simhash, substrings
+from reportloom.llm import bpe, hilbert, packing, perplexity, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and whether its perplexity lies in the band of its language."""
     return perplexity.judge(documents(spark, sf_dir))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, and whether it is toxic."""
+    docs = documents(spark, sf_dir)
+    return toxicity.severities(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
