@@ -40,15 +40,23 @@ _ENCODERS: dict[str, "_WordEncoder"] = {}
 class _WordEncoder:
     """Ids of texts from ids of their white-space separated pieces, each encoded once.
 
-    The tokenizer drops white space and never joins characters across it, so a text's
-    ids are those of its pieces. The memory holds ``most`` pieces and is then emptied.
+    The tokenizer drops white space and never joins characters across it, ignores case, and
+    takes a mark that ends a piece after an ASCII letter or digit as a token of its own. So a
+    text's ids are those of its pieces, ASCII case can be folded first, and a piece with
+    such a mark is the piece and the mark. The memory holds ``most`` pieces and is then
+    emptied.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    _MARKS = {bytes([c]): bytes([c]) for c in b".,;:!?"}
+
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.most = most
 
@@ -61,17 +69,46 @@ class _WordEncoder:
     def learn(self, pieces: set[bytes]) -> None:
         if len(self.known) > self.most:
             self.known.clear()
-        new = list(pieces.difference(self.known))
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
+        known, marks = self.known, self._MARKS
+        plain, marked = set(), []
+        for p in pieces.difference(known):
+            if p[-1:] in marks and len(p) > 1 and p[-2] < 128 and chr(p[-2]).isalnum():
+                marked.append(p)
+                plain.update((p[:-1], marks[p[-1:]]))
+            else:
+                plain.add(p)
+        letters, others = [], []
+        for p in plain.difference(known):
+            (letters if p.decode().isalpha() else others).append(p)
+        self._encode_letters(letters)
+        self._encode_each(others)
+        for p in marked:
+            known[p] = known[p[:-1]] + known[p[-1:]]
+
+    def _encode_each(self, pieces: list[bytes]) -> None:
+        for i in range(0, len(pieces), 20_000):
+            some = pieces[i:i + 20_000]
             found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
             self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found))
 
+    def _encode_letters(self, pieces: list[bytes], run: int = 200) -> None:
+        """Pieces of letters alone are one word each: encoded in runs, and cut where a word ends."""
+        runs = [pieces[i:i + run] for i in range(0, len(pieces), run)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)
+        for words, e in zip(runs, found):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(words):
+                self._encode_each(words)
+                continue
+            packed, ends = ids.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(words, map(packed.__getitem__, map(slice, [0, *ends], ends))))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         out, pending, size = [], [], 0
         for i, text in enumerate(texts):
-            pending.append((text or "").encode().split())
+            pending.append((text or "").encode().lower().split())
             size += len(pending[-1])
             if size > 500_000 or i == len(texts) - 1:
                 words = set()
