@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm import bpe, hilbert, packing, perplexity, simhash, substrings, toxicity
+from reportloom.llm import bpe, hilbert, packing, perplexity, pii, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document, and whether it is toxic."""
     docs = documents(spark, sf_dir)
     return toxicity.severities(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and all spans with those the model adds."""
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs))
