@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm import bpe, hilbert, packing, perplexity, pii, simhash, substrings, toxicity
+from reportloom.llm import bpe, hilbert, packing, perplexity, pii, simhash, substrings, toxicity, vafile, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,16 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and all spans with those the model adds."""
     docs = documents(spark, sf_dir)
     return pii.find(docs, pii.fit(docs))
+
+
+@query
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows of highest integer inner product for every hundredth vector."""
+    found = vafile.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 100 = 0", k=10)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+@query
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from a scorer trained on posterior labels, and the verdict."""
+    return weak_quality.scores(documents(spark, sf_dir))
