@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +87,13 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document from a scorer trained on posterior labels, and the verdict."""
     return weak_quality.scores(documents(spark, sf_dir))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline, from raw documents to packed pieces."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import Words, mix, per_block, shuffle_parts
+from reportloom.llm.common import Words, per_block, row_key
 from reportloom.llm.components import components
 from reportloom.plans.store import discard, materialize
 
@@ -291,22 +291,48 @@ def links(classes: DataFrame, plan: Plan, limit: int = 3, block: int = 512) -> D
     return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verifier(limit), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-                    limit: int = 3, fit_rows: int = 8192, block: int = 512) -> DataFrame:
-    """``(id_col, fp, component_id)`` per row of ``docs``."""
-    marked = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
+def classes_of(marked: DataFrame, id_col: str, limit: int = 3, fit_rows: int = 8192, block: int = 512) -> DataFrame:
+    """``(fp, root, component_id)`` for the fingerprints of a written table: a fingerprint of
+    its component that stands for it, and the smallest id in the component."""
     classes = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "classes")
     total = classes.count()
     sample = classes.select("fp").orderBy(F.xxhash64(F.lit(4), "fp")).limit(fit_rows).toPandas()["fp"]
     plan = fit_plan(sample.to_numpy(np.int64).view(np.uint64), total, limit)
     edges = materialize(links(classes.select("fp"), plan, limit, block), "links")
-    roots = components(edges)
-    named = roots.join(classes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("low").alias("component_id"))
-    named = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    named = materialize(classes.join(named, "fp", "left").select(
-        "fp", F.when(F.col("component_id").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id")),
-        "groups")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    roots = materialize(components(edges).withColumnRenamed("node", "fp"), "roots")
+    discard(edges)
+    rooted = classes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return materialize(rooted.join(lows, "root").select("fp", "root", "component_id"), "groups")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
+                    limit: int = 3, **options) -> DataFrame:
+    """``(id_col, fp, component_id)`` per row of ``docs``."""
+    marked = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    return marked.join(classes_of(marked, id_col, limit, **options), "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 3,
+             **options) -> DataFrame:
+    """``docs`` with one row of every component, the one of the smallest id (ties: by a hash of the text;
+    null ids last), all columns as they are."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("fp", pa.int64())])
+
+    def of(rows, data, offsets):
+        return {"k1": rows.column(0), "k2": rows.column(1), "id": rows.column(2),
+                "fp": block_fingerprints(data, offsets, width).view(np.int64)}
+
+    marked = materialize(docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(
+        "_text")).mapInArrow(per_block(of, schema, "_text"), "k1 long, k2 long, id long, fp long"), "fingerprints")
+    groups = classes_of(marked, "id", limit, **options)
+    stay = marked.join(groups, "fp").groupBy("root").agg(F.min(F.struct(
+        F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("s")).select(
+        F.col("s.k1").alias("_key1"), F.col("s.k2").alias("_key2"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+                       *(k.alias(f"_key{i}") for i, k in enumerate(row_key(id_col, text_col), 1)))
+    kept = held.join(materialize(stay, "kept"), ["_key1", "_key2"], "left_semi").dropDuplicates(["_key1", "_key2"])
+    return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def hex_fingerprint(fp):
