@@ -202,14 +202,15 @@ def _small_groups(fp: np.ndarray, side: np.ndarray, own: np.ndarray, group: np.n
         found.append(np.stack([at[near], ahead[near]], 1))
         gap += 1
     parent, keep = {}, []
-    for i, j in (np.concatenate(found) if found else np.zeros((0, 2), int)).tolist():
+    for pair in (np.concatenate(found) if found else np.zeros((0, 2), int)).tolist():
+        i, j = pair
         while parent.get(i, i) != i:
             i = parent[i]
         while parent.get(j, j) != j:
             j = parent[j]
         if i != j:
             parent[j] = i
-            keep.append((i, j))
+            keep.append(pair)
     return fp[np.array(keep, int).reshape(-1, 2)]
 
 
