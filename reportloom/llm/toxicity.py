@@ -135,6 +135,13 @@ def fit_texts(texts: list[str], toxic: np.ndarray, grades: int = 3, keep: int =
     y = np.asarray(toxic[:split], bool)
     if not y.any() or y.all():
         return _nothing()
+    # a first look drops the features of fewer than five rows, by hash: most of them, and their names are never held
+    mask = (1 << 22) - 1
+    often = np.zeros(mask + 1, np.uint16)
+    for text in texts[:split]:
+        found = {hash(f) & mask for word in set(_WORD.findall(text.lower())) for f in word_features(word)}
+        at = np.fromiter(found, int, len(found))
+        often[at] = np.minimum(often[at] + 1, 5)
     names: dict[str, int] = {}
     rows, sizes = [], []
     for text in texts[:split]:
@@ -142,9 +149,10 @@ def fit_texts(texts: list[str], toxic: np.ndarray, grades: int = 3, keep: int =
         counts = Counter()
         for word, n in words.items():
             for f in word_features(word):
-                counts[names.setdefault(f, len(names))] += n
+                if often[hash(f) & mask] == 5:
+                    counts[names.setdefault(f, len(names))] += n
         sizes.append(max(sum(words.values()), 1))
-        rows.append((np.fromiter(counts.keys(), int, len(counts)), np.fromiter(counts.values(), float, len(counts))))
+        rows.append((np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))))
     rows = [(at, _value(n, size)) for (at, n), size in zip(rows, sizes)]
     # how far a feature's mean value in toxic rows lies from that in clean rows, in pooled deviations
     total, square, seen = np.zeros((2, len(names))), np.zeros(len(names)), np.zeros(len(names))
