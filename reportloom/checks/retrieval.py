@@ -52,7 +52,7 @@ def corpus_index(spark, sf_dir):
     def build():
         scopes = corpus.read_table(spark, sf_dir, "documents").select(
             F.lit(0).cast("long").alias("scope_id"), "doc_id")
-        return R.build_index(corpus_chunks(spark, sf_dir), scopes, salts=8)
+        return R.build_index(corpus_chunks(spark, sf_dir), scopes)
     return stored(spark, sf_dir, "corpus index", build=build)
 
 
@@ -100,8 +100,7 @@ idf AS (SELECT scope_id, term, CASE WHEN ri < 0 THEN 0.25 * mi ELSE ri END AS id
 vt AS MATERIALIZED (SELECT scope_id, doc_id, chunk_index, term, count(*) AS tf FROM (
   SELECT scope_id, doc_id, chunk_index, unnest({vector_terms_sql('text')}) AS term FROM ch) GROUP BY ALL),
 vi AS MATERIALIZED (SELECT scope_id, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (
-    SELECT scope_id, term, count(*) AS df, row_number() OVER (PARTITION BY scope_id ORDER BY sum(tf) DESC, term) AS r
-    FROM vt GROUP BY scope_id, term) JOIN st USING (scope_id) WHERE r <= 30000),
+    SELECT scope_id, term, count(*) AS df FROM vt GROUP BY scope_id, term) JOIN st USING (scope_id)),
 norms AS (SELECT scope_id, doc_id, chunk_index, sqrt(sum(((1 + ln(tf)) * idf) ** 2)) AS norm
   FROM vt JOIN vi USING (scope_id, term) GROUP BY ALL)"""
 

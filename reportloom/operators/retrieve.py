@@ -6,24 +6,29 @@ scope. Search comes in two forms with equal results:
 
 * ``search_scopes`` ranks every chunk of a scope; for small scopes, any number of
   questions at once;
-* ``search_corpus`` never ranks a whole scope. It keeps the few chunks per
-  question that can still reach the top and counts, without ordering them, the
-  chunks that come before each of these.
+* ``search_corpus`` never ranks a whole scope and never moves a (question, chunk) row. It
+  reads the forward index twice: a chunk is scored where it lies, against a bounded
+  block of questions that travels to it. The first reading keeps the few chunks that can
+  still reach the top, the second counts the chunks that come before each of these.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from reportloom.functions import vocab as V
 from reportloom.functions.arrays import grouped_counts, let
 from reportloom.functions.skew import salted_lookup
 from reportloom.functions.text import expand_query, strip, tokens
-from reportloom.plans.store import materialize
+from reportloom.plans.store import discard, materialize
 
-RRF_K, MAX_TERMS, MIN_VECTOR = 60, 30_000, 0.02
+RRF_K, MIN_VECTOR = 60, 0.02
 K1, B, EPSILON, COVERAGE = 1.5, 0.75, 0.25, 6.0
 CHUNK_KEY = ["scope_id", "doc_id", "chunk_index"]
 # sums of the same numbers in another order differ in the last digits; equal
@@ -51,16 +56,10 @@ class TermIndex:
     vector: DataFrame         # scope, chunk, term, tf
     vector_terms: DataFrame   # scope, term, idf
     norms: DataFrame          # scope, chunk, norm
-    salts: int
+    forward: DataFrame        # scope, chunk, place in the scope, dl, norm, lexical and vector terms with tf
 
 
-def _lookup(facts, lookup, keys, row_id, salts, how="inner"):
-    """Salted only where a scope may be large; small scopes cannot be hot."""
-    return facts.join(lookup, keys, how) if salts == 1 else salted_lookup(
-        facts, lookup, keys, row_id, how, salts)
-
-
-def lexical_postings(chunks: DataFrame) -> DataFrame:
+def _lexical_terms() -> Column:
     """Term counts of the text; title words that the text lacks have count 0."""
     def merged(text_counts, title_words):
         inside = F.transform(text_counts, lambda c: c["item"])
@@ -69,49 +68,53 @@ def lexical_postings(chunks: DataFrame) -> DataFrame:
             t.alias("item"), F.lit(0).alias("n"))))
 
     title = tokens(F.coalesce("section_title", F.lit("")))
-    posting = let(tokens(F.col("text")), lambda ts: let(grouped_counts(ts), lambda counts: F.transform(
+    return let(tokens(F.col("text")), lambda ts: let(grouped_counts(ts), lambda counts: F.transform(
         merged(counts, title), lambda c: F.struct(
             c["item"].alias("term"), c["n"].alias("tf"), F.size(ts).alias("dl")))))
-    return chunks.select(*CHUNK_KEY, F.explode(posting).alias("p")).select(
-        *CHUNK_KEY, "p.term", "p.tf", "p.dl")
 
 
 def build_index(chunks: DataFrame, scopes: DataFrame, stop_words=V.ENGLISH_STOP_WORDS,
-                salts: int = 1) -> TermIndex:
-    """Index ``chunks`` for every scope of ``scopes(scope_id, doc_id)``."""
+                max_terms: int | None = None) -> TermIndex:
+    """Index ``chunks`` for every scope of ``scopes(scope_id, doc_id)``.
+
+    ``max_terms`` keeps only the most frequent vector terms of each scope; uncut by default.
+    A hot scope's joins are split by the adaptive skewed join.
+    """
     scoped = materialize(chunks.join(scopes.select("scope_id", "doc_id"), "doc_id"), "chunks")
-    lexical = materialize(lexical_postings(scoped), "lexical")
-    sizes = materialize(scoped.groupBy("scope_id").agg(
-        F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl")), "sizes")
-    raw = _lookup(lexical.filter("tf > 0").groupBy("scope_id", "term").agg(F.count("*").alias("df")),
-                  sizes, ["scope_id"], "term", salts).withColumn(
-        "raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    counted = materialize(scoped.select(
+        *CHUNK_KEY, F.size(tokens(F.col("text"))).alias("dl"), _lexical_terms().alias("lex"),
+        F.transform(grouped_counts(tfidf_terms(F.col("text"), stop_words)), lambda c: F.struct(
+            c["item"].alias("term"), c["n"].alias("tf"))).alias("vec")), "counts")
+    lexical = counted.select(*CHUNK_KEY, F.explode("lex").alias("p")).select(*CHUNK_KEY, "p.term", "p.tf", "p.dl")
+    sizes = materialize(counted.groupBy("scope_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "sizes")
+    raw = lexical.filter("tf > 0").groupBy("scope_id", "term").agg(F.count("*").alias("df")).join(
+        sizes, "scope_id").withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = materialize(raw, "frequencies")
     means = raw.groupBy("scope_id").agg(F.avg("raw_idf").alias("mean_idf"))
-    lexical_terms = materialize(_lookup(raw, means, ["scope_id"], "term", salts).select(
+    lexical_terms = materialize(raw.join(means, "scope_id").select(
         "scope_id", "term", "avgdl", F.when(F.col("raw_idf") < 0, F.col("mean_idf") * EPSILON)
         .otherwise(F.col("raw_idf")).alias("idf")), "lexical_terms")
 
-    counts = grouped_counts(tfidf_terms(F.col("text"), stop_words))
-    vector = materialize(scoped.select(*CHUNK_KEY, F.explode(counts).alias("p")).select(
-        *CHUNK_KEY, F.col("p.item").alias("term"), F.col("p.n").alias("tf")), "vector")
-    vector_terms = _lookup(
-        most_frequent_terms(vector), sizes.select("scope_id", "n"), ["scope_id"], "term", salts
-    ).select("scope_id", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    vector_terms = materialize(vector_terms, "vector_terms")
-    weights = _lookup(vector, vector_terms, ["scope_id", "term"], "doc_id", salts)
-    norms = materialize(weights.groupBy(*CHUNK_KEY).agg(
+    vector = counted.select(*CHUNK_KEY, F.explode("vec").alias("p")).select(*CHUNK_KEY, "p.term", "p.tf")
+    terms = vector.groupBy("scope_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    if max_terms is not None:
+        terms = most_frequent_terms(terms, max_terms)
+    vector_terms = materialize(terms.join(sizes.select("scope_id", "n"), "scope_id").select(
+        "scope_id", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "vector_terms")
+    norms = materialize(vector.join(vector_terms, ["scope_id", "term"]).groupBy(*CHUNK_KEY).agg(
         F.sqrt(F.sum(F.pow((F.log("tf") + 1) * F.col("idf"), 2))).alias("norm")), "norms")
-    return TermIndex(scoped, lexical, lexical_terms, vector, vector_terms, norms, salts)
+    forward = materialize(counted.join(chunk_positions(scoped), ["scope_id", "doc_id"]).join(norms, CHUNK_KEY, "left").select(
+        *CHUNK_KEY, (F.col("start") + F.col("chunk_index")).cast("long").alias("place"), "dl", "norm", "lex", "vec"), "forward")
+    discard(raw)
+    return TermIndex(scoped, lexical, lexical_terms, vector, vector_terms, norms, forward)
 
 
-def most_frequent_terms(postings: DataFrame, limit: int = MAX_TERMS, slices: int = 32) -> DataFrame:
-    """The ``limit`` most frequent terms of each scope, ties by term.
+def most_frequent_terms(terms: DataFrame, limit: int, slices: int = 32) -> DataFrame:
+    """The ``limit`` most frequent of ``scope_id, term, df, total`` for each scope, ties by term.
 
     Cut slice by slice first, so the last ordering sees at most
     ``slices * limit`` terms of a scope.
     """
-    terms = postings.groupBy("scope_id", "term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("total"))
     terms = terms.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(slices)))
     order = [F.desc("total"), F.col("term")]
     first = terms.withColumn("r", F.row_number().over(
@@ -126,33 +129,41 @@ def expanded(queries: DataFrame) -> DataFrame:
         "expanded", expand_query(F.col("question")))
 
 
-def cosine_parts(index: TermIndex, queries: DataFrame, stop_words=V.ENGLISH_STOP_WORDS) -> DataFrame:
-    """Dot products ``query_id, scope, chunk, vec`` of the chunks sharing a term."""
+def cosine_terms(index: TermIndex, queries: DataFrame, stop_words=V.ENGLISH_STOP_WORDS) -> DataFrame:
+    """``query_id, scope, term, qw``: weight of a question's terms, times the chunks' side of the idf."""
     terms = queries.select("query_id", "scope_id", F.explode(
         grouped_counts(tfidf_terms(F.col("expanded"), stop_words))).alias("q")).select(
         "query_id", "scope_id", F.col("q.item").alias("term"), F.col("q.n").alias("qtf"))
     weighted = terms.join(index.vector_terms, ["scope_id", "term"]).withColumn(
         "qw", (F.log("qtf") + 1) * F.col("idf"))
     lengths = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    side = weighted.join(lengths, "query_id").select(
+    return weighted.join(lengths, "query_id").select(
         "query_id", "scope_id", "term", (F.col("qw") * F.col("idf") / F.col("qnorm")).alias("qw"))
-    hits = _lookup(index.vector, side, ["scope_id", "term"], "doc_id", index.salts)
+
+
+def cosine_parts(index: TermIndex, queries: DataFrame, stop_words=V.ENGLISH_STOP_WORDS) -> DataFrame:
+    """Dot products ``query_id, scope, chunk, vec`` of the chunks sharing a term."""
+    hits = index.vector.join(cosine_terms(index, queries, stop_words), ["scope_id", "term"])
     dots = hits.groupBy("query_id", *CHUNK_KEY).agg(
         F.sum(F.col("qw") * (F.log("tf") + 1)).alias("dot"))
     return dots.join(index.norms, CHUNK_KEY).select("query_id", *CHUNK_KEY, F.round(F.greatest(
         F.lit(0.0), F.least(F.lit(1.0), F.col("dot") / F.col("norm"))), SCORE_DIGITS).alias("vec"))
 
 
-def lexical_parts(index: TermIndex, queries: DataFrame) -> DataFrame:
-    """``query_id, scope, chunk, bm25, coverage`` of the chunks sharing a token."""
+def lexical_query_terms(index: TermIndex, queries: DataFrame) -> DataFrame:
+    """``query_id, scope, term, qtf, n_long, idf, avgdl`` of a question's tokens."""
     words = queries.select("query_id", "scope_id", grouped_counts(tokens(F.col("expanded"))).alias("ws"))
     long_words = F.size(F.filter("ws", lambda w: F.length(w["item"]) > 2))
     terms = words.select("query_id", "scope_id", F.explode("ws").alias("q"),
                          long_words.alias("n_long")).select(
         "query_id", "scope_id", F.col("q.item").alias("term"), F.col("q.n").alias("qtf"), "n_long")
     # a word may occur in titles only and then has no statistics
-    side = terms.join(index.lexical_terms, ["scope_id", "term"], "left")
-    hits = _lookup(index.lexical, side, ["scope_id", "term"], "doc_id", index.salts)
+    return terms.join(index.lexical_terms, ["scope_id", "term"], "left")
+
+
+def lexical_parts(index: TermIndex, queries: DataFrame) -> DataFrame:
+    """``query_id, scope, chunk, bm25, coverage`` of the chunks sharing a token."""
+    hits = index.lexical.join(lexical_query_terms(index, queries), ["scope_id", "term"])
     tf = F.col("tf")
     score = (F.coalesce("idf", F.lit(0.0)) * F.col("qtf") * tf * (K1 + 1)
              / (tf + K1 * (1 - B + B * F.col("dl") / F.coalesce("avgdl", F.lit(1.0)))))
@@ -210,22 +221,6 @@ def search_scopes(index: TermIndex, queries: DataFrame, top_k: int = 6,
     return _guard(rrf_fuse(scored, top_k), min_vector)
 
 
-def _count_before(rows: DataFrame, marks: DataFrame, key: Column) -> DataFrame:
-    """``query_id, key, before``: how many rows of a question sort before each mark.
-
-    The sorted marks of a question (a few hundred at most) travel to its rows. A row
-    adds one to the first mark after it; a running sum over the marks finishes.
-    """
-    lists = marks.groupBy("query_id").agg(F.array_sort(F.collect_set(key)).alias("marks"))
-    slots = salted_lookup(rows, lists, ["query_id"], "doc_id", "inner").select(
-        "query_id", F.size(F.filter("marks", lambda m: m <= key)).alias("slot"))
-    added = slots.groupBy("query_id", "slot").agg(F.count("*").alias("n"))
-    flat = lists.select("query_id", F.posexplode("marks").alias("slot", "key"))
-    w = W.partitionBy("query_id").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
-    return flat.join(added, ["query_id", "slot"], "left").select(
-        "query_id", "key", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("before"))
-
-
 def chunk_positions(chunks: DataFrame, buckets: int = 1000) -> DataFrame:
     """``scope_id, doc_id, start``: chunks of the scope in earlier documents.
 
@@ -249,58 +244,184 @@ def chunk_positions(chunks: DataFrame, buckets: int = 1000) -> DataFrame:
         "scope_id", "doc_id", (F.col("offset") + F.col("inside")).alias("start"))
 
 
-def search_corpus(index: TermIndex, queries: DataFrame, top_k: int = 6,
-                  min_vector: float = MIN_VECTOR) -> DataFrame:
+class _Leg:
+    """Questions of a scope under the terms they ask for: per term a run of (question, weight)."""
+
+    def __init__(self, rows: list[tuple[str, int, float]]):
+        rows = sorted(rows)
+        self.terms = pa.array(sorted({r[0] for r in rows}), pa.string())
+        at = {t: i for i, t in enumerate(self.terms.to_pylist())}
+        self.size = np.bincount([at[r[0]] for r in rows], minlength=len(at)).astype(int)
+        self.first = np.cumsum(self.size) - self.size
+        self.question = np.array([r[1] for r in rows], int)
+        self.weight = np.array([r[2] for r in rows], float)
+
+    def hits(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(posting, entry) for every question that asks for a posting's term."""
+        if not len(self.terms):
+            return np.zeros(0, int), np.zeros(0, int)
+        term = pc.fill_null(pc.index_in(terms, value_set=self.terms), -1).to_numpy(zero_copy_only=False)
+        posting = np.flatnonzero(term >= 0)
+        size = self.size[term[posting]]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(posting, size), np.repeat(self.first[term[posting]], size) + inside
+
+
+class _Asked:
+    """The questions of one scope, ready to score chunks."""
+
+    def __init__(self, lexical: list, cosine: list, questions: list[int]):
+        self.questions = np.array(sorted(questions))
+        at = {q: i for i, q in enumerate(self.questions.tolist())}
+        self.avgdl = next((r.avgdl for r in lexical if r.avgdl is not None), 1.0)
+        self.bm25 = _Leg([(r.term, at[r.q], (r.idf or 0.0) * r.qtf) for r in lexical])
+        self.cover = _Leg([(r.term, at[r.q], 1.0 / max(r.n_long, 1)) for r in lexical if len(r.term) > 2])
+        self.cosine = _Leg([(r.term, at[r.q], r.qw) for r in cosine])
+
+    def scores(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Both legs of every (question, chunk) of a batch; sums run in the order of a chunk's terms."""
+        n, m = batch.num_rows, len(self.questions)
+
+        def postings(name):
+            lists = batch.column(name)
+            row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            return row, flat.field("term"), flat.field("tf").to_numpy(zero_copy_only=False).astype(float)
+
+        def total(leg, row, terms, factor):
+            p, e = leg.hits(terms)
+            return np.bincount(leg.question[e] * n + row[p], leg.weight[e] * factor[p], m * n).reshape(m, n)
+        row, terms, tf = postings("lex")
+        dl = batch.column("dl").to_numpy(zero_copy_only=False).astype(float)[row]
+        bm25 = total(self.bm25, row, terms, tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl)))
+        lex = np.round(bm25 + COVERAGE * total(self.cover, row, terms, np.ones(len(tf))), SCORE_DIGITS)
+        row, terms, tf = postings("vec")
+        norm = batch.column("norm").fill_null(1.0).to_numpy(zero_copy_only=False)
+        dot = total(self.cosine, row, terms, np.log(np.maximum(tf, 1)) + 1) / norm
+        return np.round(np.clip(dot, 0.0, 1.0), SCORE_DIGITS), lex
+
+
+def _by_scope(batches, asked: dict[int, _Asked], rows: int = 2048):
+    """Chunks of a scope with its questions, in the order of their places."""
+    for batch in batches:
+        scopes = batch.column("scope_id").to_numpy(zero_copy_only=False)
+        order = np.lexsort((batch.column("place").to_numpy(), scopes))
+        cuts = np.flatnonzero(np.append(True, scopes[order][1:] != scopes[order][:-1])) if len(order) else []
+        for a, b in zip(cuts, np.append(cuts[1:], len(order)).astype(int) if len(order) else []):
+            if (own := asked.get(int(scopes[order[a]]))) is not None:
+                for k in range(a, b, rows):
+                    yield own, batch.take(pa.array(order[k:min(k + rows, b)]))
+
+
+def _prune(parts: list[tuple], reach: int) -> tuple:
+    """The first ``reach`` of each question by either leg; parts hold (question, place, vec, lex, ...)."""
+    q, place, vec, lex, *rest = (np.concatenate(x) for x in zip(*parts))
+    stay = np.zeros(len(q), bool)
+    for score in (vec, lex):
+        order = np.lexsort((place, -score, q))
+        head = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1]))
+        rank = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
+        stay[order[rank < reach]] = True
+    return tuple(x[stay] for x in (q, place, vec, lex, *rest))
+
+
+def _leaders(forward: DataFrame, asked: dict[int, _Asked], reach: int) -> DataFrame:
+    """First reading: chunks among the first ``reach`` of a task by either leg."""
+    held = forward.sparkSession.sparkContext.broadcast(asked)
+    names = ["q", "place", "vec", "lex", "scope_id", "doc_id", "chunk_index"]
+
+    def run(batches):
+        kept: list[tuple] = []
+        for own, part in _by_scope(batches, held.value):
+            vec, lex = own.scores(part)
+            picks = {tuple(x) for s in (vec, lex) for x in zip(*(
+                y.ravel().tolist() for y in (np.repeat(np.arange(len(s)), min(reach, s.shape[1])),
+                                             np.argsort(-s, axis=1, kind="stable")[:, :reach])))}
+            i, j = np.array(sorted(picks)).reshape(-1, 2).T
+            kept.append((own.questions[i], *(part.column("place").to_numpy()[j],), vec[i, j], lex[i, j],
+                         *(part.column(c).to_numpy(zero_copy_only=False)[j] for c in names[4:])))
+            if sum(len(k[0]) for k in kept) > 500_000:
+                kept = [_prune(kept, reach)]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _prune(kept, reach)], names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in forward.schema}
+    return forward.select(*CHUNK_KEY, "place", "dl", "norm", "lex", "vec").mapInArrow(
+        run, "q long, place long, vec double, lex double, " + ", ".join(f"{c} {kinds[c]}" for c in names[4:]))
+
+
+def _before(forward: DataFrame, asked: dict[int, _Asked], marks: dict[int, tuple]) -> DataFrame:
+    """Second reading: for each marked chunk of a question how many chunks come before it in either leg."""
+    held = forward.sparkSession.sparkContext.broadcast((asked, marks))
+
+    def run(batches):
+        asked, marks = held.value
+        counts = {q: np.zeros((2, len(m[0])), np.int64) for q, m in marks.items()}
+        for own, part in _by_scope(batches, asked):
+            place = part.column("place").to_numpy()[:, None]
+            legs = own.scores(part)
+            for i, q in enumerate(own.questions.tolist()):
+                if q not in marks:
+                    continue
+                at, *scores = marks[q]
+                for k, (leg, mark) in enumerate(zip(legs, scores)):
+                    s = leg[i][:, None]
+                    counts[q][k] += (((s > mark) | ((s == mark) & (place < at))) & (place != at)).sum(0)
+        rows = [(q, p, v, x) for q, n in counts.items() for p, v, x in zip(marks[q][0].tolist(), *n.tolist()) if v or x]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["q", "place", "rv", "rl"])
+    return forward.select(*CHUNK_KEY, "place", "dl", "norm", "lex", "vec").mapInArrow(
+        run, "q long, place long, rv long, rl long").groupBy("q", "place").agg(F.sum("rv").alias("rv"), F.sum("rl").alias("rl"))
+
+
+def search_corpus(index: TermIndex, queries: DataFrame, top_k: int = 6, min_vector: float = MIN_VECTOR,
+                  question_block: int = 512) -> DataFrame:
     """Hybrid search over scopes of any size, equal to ``search_scopes``.
 
     The k-th best chunk scores above 1/(60+k), and a chunk outside the first R of
     both legs at most 2/(61+R). With R = 59 + 2k the second never exceeds the
-    first, so the first R of either leg contain the answer. Chunks without any hit
-    can only matter for questions with fewer than k chunks that are positive in
-    both legs; for these the first k such chunks by position are added.
+    first, so the first R of either leg contain the answer, chunks without a hit
+    included. ``question_block`` questions, their terms and their ``2 R`` marks travel to the
+    chunks at a time. Scope ids are whole numbers.
     """
     reach = RRF_K - 1 + 2 * top_k
-    scored = materialize(score_chunks(index, queries), "scored")
-
-    def first(df, score, n):
-        w = W.partitionBy("query_id").orderBy(*_order(score))
-        return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
-
-    tops = first(scored, "vec", reach).unionAll(first(scored, "lex", reach)).distinct()
-
-    asked = expanded(queries).select("query_id", "scope_id")
-    counts = scored.groupBy("query_id").agg(
-        F.count("*").alias("hits"), F.count_if((F.col("vec") > 0) & (F.col("lex") > 0)).alias("both"))
-    needy = asked.join(counts, "query_id", "left").filter(F.coalesce("both", F.lit(0)) < top_k)
-    hitless = needy.select("query_id", "scope_id").join(index.chunks.select(*CHUNK_KEY), "scope_id").join(
-        scored.select("query_id", *CHUNK_KEY), ["query_id", *CHUNK_KEY], "left_anti")
-    hitless = first(hitless, None, top_k).withColumn("vec", F.lit(0.0)).withColumn("lex", F.lit(0.0))
-    candidates = materialize(tops.unionByName(hitless), "candidates")
-
-    def key(score):
-        return F.struct((F.lit(0.0) - F.col(score)).alias("s"), "doc_id", "chunk_index")
-
-    place = F.struct("doc_id", "chunk_index")
-    marked = candidates.select("*", key("vec").alias("kv"), key("lex").alias("kl"), place.alias("kp"))
-    for name, k in (("v", key("vec")), ("l", key("lex")), ("p", place)):
-        counted = _count_before(scored, candidates, k).select(
-            "query_id", F.col("key").alias(f"k{name}"), F.col("before").alias(f"before_{name}"))
-        marked = marked.join(counted, ["query_id", f"k{name}"])
-    sizes = index.chunks.groupBy("scope_id").agg(F.count("*").alias("n"))
-    starts = chunk_positions(index.chunks)
-    full = (marked.join(counts.select("query_id", "hits"), "query_id", "left").join(sizes, "scope_id")
-            .join(starts, ["scope_id", "doc_id"]))
-    # chunks without a hit score 0 and sit between positive and negative scores
-    zeros_before = F.col("start") + F.col("chunk_index") - F.col("before_p")
-    zeros = F.col("n") - F.coalesce("hits", F.lit(0))
-
-    def rank(score, before):
-        return F.col(before) + F.when(F.col(score) > 0, F.lit(0)).when(
-            F.col(score) == 0, zeros_before).otherwise(zeros)
-
-    fused = full.withColumn("rv", rank("vec", "before_v")).withColumn(
-        "rl", rank("lex", "before_l")).withColumn("fused", F.round(_fused(), 12))
-    return _guard(_cut(fused, top_k), min_vector)
+    spark = queries.sparkSession
+    asked = expanded(queries).select("query_id", "scope_id", "expanded")
+    parts = max(1, -(-asked.count() // question_block))
+    out = []
+    for part in range(parts):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        ids = {r.query_id: (i, r.scope_id) for i, r in enumerate(block.select("query_id", "scope_id").collect())}
+        if not ids:
+            continue
+        number = F.create_map(*(F.lit(x) for q, (i, _) in ids.items() for x in (q, i)))
+        lexical = lexical_query_terms(index, block).withColumn("q", number[F.col("query_id")]).collect()
+        cosine = cosine_terms(index, block).withColumn("q", number[F.col("query_id")]).collect()
+        scopes: dict[int, list] = {}
+        for i, scope in ids.values():
+            scopes.setdefault(int(scope), ([], [], []))[2].append(i)
+        for k, rows in enumerate((lexical, cosine)):
+            for r in rows:
+                scopes[int(r.scope_id)][k].append(r)
+        ready = {s: _Asked(*v) for s, v in scopes.items()}
+        forward = index.forward.filter(F.col("scope_id").isin(list(ready)))
+        leaders = _leaders(forward, ready, reach)
+        over = W.partitionBy("q")
+        first = [leaders.withColumn("r", F.row_number().over(over.orderBy(F.desc(s), "place"))).filter(
+            F.col("r") <= reach).drop("r") for s in ("vec", "lex")]
+        rows = first[0].unionAll(first[1]).distinct().toArrow().combine_chunks()
+        q, place, vec, lex = (rows.column(c).to_numpy() for c in ("q", "place", "vec", "lex"))
+        marks = {int(i): (place[q == i], vec[q == i], lex[q == i]) for i in np.unique(q)}
+        names = spark.createDataFrame([(i, k) for k, (i, _) in ids.items()], queries.select(
+            F.lit(0).cast("long").alias("q"), "query_id").schema)
+        found = spark.createDataFrame(rows).join(F.broadcast(_before(forward, ready, marks)), ["q", "place"], "left").fillna(
+            0, ["rv", "rl"]).join(F.broadcast(names), "q")
+        out.append(found.select("query_id", *(F.col(c).cast(index.forward.schema[c].dataType).alias(c) for c in CHUNK_KEY),
+                                "vec", "lex", F.round(_fused(), 12).alias("fused")))
+    if not out:
+        out = [asked.join(index.chunks, "scope_id").select(
+            "query_id", *CHUNK_KEY, F.lit(0.0).alias("vec"), F.lit(0.0).alias("lex"), F.lit(0.0).alias("fused")).limit(0)]
+    return _guard(_cut(reduce(DataFrame.unionByName, out), top_k), min_vector)
 
 
 def evidence(results: DataFrame, chunks: DataFrame) -> DataFrame:
