@@ -113,11 +113,11 @@ meas AS (
   FROM lab)"""
 
 PAIRS = """visits AS (
-  SELECT o_custkey AS pair_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS visit
+  SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS visit
   FROM orders),
 pairs AS (
-  SELECT a.pair_id, a.o_orderkey AS doc_a, b.o_orderkey AS doc_b
-  FROM visits a JOIN visits b ON a.pair_id = b.pair_id AND a.visit = 1 AND b.visit = 2)"""
+  SELECT a.o_orderkey AS pair_id, a.o_orderkey AS doc_a, b.o_orderkey AS doc_b
+  FROM visits a JOIN visits b ON a.o_custkey = b.o_custkey AND b.visit = a.visit + 1)"""
 
 IS_PAGE_NO = (r"(regexp_matches({s}, '(?i)^\s*(page\s*)?[\divxlcm]+\s*(of|/)\s*\d+\s*$')"
               r" OR regexp_matches({s}, '^\s*-?\s*\d{{1,4}}\s*-?\s*$'))")

@@ -119,7 +119,7 @@ _SUMMARY = f"""{_FIRST}, {_ENT.replace(B.LAB + ',', '', 1).replace(B.PAIRS + ','
 tally AS (SELECT pair_id, count(*) FILTER (m) AS compared, count(*) FILTER (change_type = 'changed') AS changed,
     count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'removed') AS removed,
     count(*) FILTER (change_type = 'unchanged') AS unchanged
-  FROM (SELECT pair_id, change_type, true AS m FROM cmp UNION ALL SELECT pair_id, change_type, false FROM terms) GROUP BY pair_id)"""
+  FROM pairs LEFT JOIN (SELECT pair_id, change_type, true AS m FROM cmp UNION ALL SELECT pair_id, change_type, false FROM terms) USING (pair_id) GROUP BY pair_id)"""
 
 
 @check("a7_comparison_summary", with_(_SUMMARY, """
@@ -128,7 +128,7 @@ SELECT *, 'Compared ' || compared || ' recorded values and terms: ' || changed |
 FROM tally"""))
 def _(spark, sf_dir):
     terms = A.compare_entities(pairs(spark, sf_dir), stored_entities(spark, sf_dir))
-    return A.comparison_summary(compared(spark, sf_dir), terms)
+    return A.comparison_summary(compared(spark, sf_dir), terms, pairs(spark, sf_dir))
 
 
 @check("a8_count_changes", with_(_FIRST, """

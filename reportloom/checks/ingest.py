@@ -121,7 +121,7 @@ WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_number,
     string_agg('word' || l_partkey, ' ' ORDER BY l_partkey, l_suppkey, l_extendedprice) FILTER (l_tax > 0) AS ocr_text,
     {_CONF} AS conf FROM lineitem GROUP BY ALL),
 r AS (SELECT *, len(native_text) < 20 AND coalesce(conf, 0) >= 40 AND len(coalesce(ocr_text, '')) >= 10 AS readable FROM w),
-n AS (SELECT *, sum(CAST(readable AS INT)) OVER (PARTITION BY doc_id ORDER BY page_number) AS nth FROM r WHERE page_number <= 120),
+n AS (SELECT *, sum(CAST(readable AS INT)) OVER (PARTITION BY doc_id ORDER BY page_number) AS nth FROM r),
 m AS (SELECT *, CASE WHEN len(native_text) >= 20 THEN 'text' WHEN readable AND nth <= 2 THEN 'ocr'
     WHEN native_text = '' THEN 'ocr-failed' ELSE 'empty' END AS method FROM n)
 SELECT doc_id, page_number, method, CASE method WHEN 'text' THEN native_text WHEN 'ocr' THEN ocr_text ELSE '' END AS text,
@@ -168,9 +168,9 @@ def _(spark, sf_dir):
 
 
 def dossiers(spark, sf_dir):
-    """Every owner as a document whose pages are its first reports in time order."""
+    """Every owner as a document whose pages are its reports in time order."""
     place = F.row_number().over(W.partitionBy("owner_id").orderBy("created_at", "doc_id"))
-    rows = reports(spark, sf_dir).withColumn("page_number", place).filter(F.col("page_number") <= P.MAX_PAGES)
+    rows = reports(spark, sf_dir).withColumn("page_number", place)
     return P.nest_pages(rows.select(F.col("owner_id").alias("doc_id"), "page_number", "text",
                                     F.lit("text").alias("method")))
 

@@ -73,11 +73,13 @@ SELECT d.*, coalesce(q.n, 0) AS questions, coalesce(p.n, 0) AS comparisons FROM
     count(*) FILTER (false) AS failed, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(measurements) AS BIGINT) AS measurements
   FROM orders JOIN counted ON doc_id = o_orderkey GROUP BY o_custkey) d
 LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id) q ON q.user_id = owner_id
-LEFT JOIN (SELECT pair_id, count(*) AS n FROM pairs GROUP BY pair_id) p ON p.pair_id = owner_id"""))
+LEFT JOIN (SELECT o_custkey, count(*) AS n FROM pairs JOIN orders ON o_orderkey = pair_id GROUP BY o_custkey) p ON p.o_custkey = owner_id"""))
 def _(spark, sf_dir):
     docs = order_documents(spark, sf_dir).join(counted(spark, sf_dir).select("doc_id", "chunks", "measurements"), "doc_id")
     asked = corpus.read_table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").alias("owner_id"))
-    return O.owner_stats(docs, asked, pairs(spark, sf_dir).select(F.col("pair_id").alias("owner_id")))
+    owners = corpus.read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("pair_id"), F.col("o_custkey").alias("owner_id"))
+    return O.owner_stats(docs, asked, pairs(spark, sf_dir).join(owners, "pair_id"))
 
 
 def runs(spark, sf_dir):
@@ -87,13 +89,13 @@ def runs(spark, sf_dir):
 
 
 @check("o7_newest_runs", """
-SELECT event_id AS run_id, ts AS created_at, value AS duration_ms FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 200""")
+SELECT event_id AS run_id, ts AS created_at, value AS duration_ms FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 500""")
 def _(spark, sf_dir):
     return O.newest_runs(runs(spark, sf_dir), "error", 500).select("run_id", "created_at", "duration_ms")
 
 
 @check("o7_run_rollup", """
-SELECT event_type AS kind, count(*) AS runs, count(*) FILTER (NOT value < 50) AS failures, round(avg(value), 4) AS mean_ms, quantile_disc(value, 0.5) AS median_ms
+SELECT event_type AS kind, count(*) AS runs, count(*) FILTER (NOT value < 50) AS failures, round(avg(value), 4) AS mean_ms, quantile_cont(value, 0.5) AS median_ms
 FROM events GROUP BY event_type""")
 def _(spark, sf_dir):
     return O.run_rollup(runs(spark, sf_dir))

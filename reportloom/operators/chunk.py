@@ -77,7 +77,7 @@ def serialize_table(header: Column, rows: Column, caption: Column) -> Column:
     def line(cells):
         return F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " | ")
     return F.concat_ws("\n", F.concat(F.lit("Table: "), F.nullif(caption, F.lit(""))),
-                       line(header), F.array_join(F.transform(rows, line), "\n"))
+                       line(header), F.when(F.size(rows) > 0, F.array_join(F.transform(rows, line), "\n")))
 
 
 def section_chunks(sections: Column) -> Column:

@@ -32,6 +32,11 @@ def first_by_name(measurements: DataFrame) -> DataFrame:
         F.min_by(F.struct("ord", *FIELDS), "ord").alias("m"))
 
 
+def _plain_decimal(x):
+    """A number rounded to four places without an exponent: ``0.0005``, ``24999990.0``."""
+    return F.regexp_replace(x.cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def compare_measurements(pairs: DataFrame, measurements: DataFrame) -> DataFrame:
     """One row per pair and name: unchanged, changed, removed or added, with a note."""
     first = first_by_name(measurements)
@@ -57,7 +62,7 @@ def compare_measurements(pairs: DataFrame, measurements: DataFrame) -> DataFrame
         F.lit("Value changed from "), F.col("a.value_raw"), F.lit(" to "), F.col("b.value_raw"),
         F.when(delta.isNull(), F.lit(".")).otherwise(F.concat(
             F.lit(" ("), F.when(num_b - num_a >= 0, F.lit("+")).otherwise(F.lit("")),
-            delta.cast("string"), F.lit(")."))))
+            _plain_decimal(delta), F.lit(")."))))
     return both.select(
         "pair_id", "key", F.lit("Measurement").alias("category"),
         title_case(F.coalesce("a.name", "b.name")).alias("item"), kind.alias("change_type"), "a", "b",
@@ -133,14 +138,15 @@ def comparison_citations(compared: DataFrame, pairs: DataFrame, chunks: DataFram
         "doc_id", "chunk_index", "page_number", "quote")
 
 
-def comparison_summary(measured: DataFrame, terms: DataFrame) -> DataFrame:
-    """Counts per change type and the sentence that states them."""
+def comparison_summary(measured: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Counts per change type and the sentence that states them, for every pair."""
     rows = measured.select("pair_id", "change_type", F.lit(1).alias("m")).unionAll(
         terms.select("pair_id", "change_type", F.lit(0).alias("m")))
     counts = rows.groupBy("pair_id").agg(
         F.sum("m").alias("compared"),
         *[F.count_if(F.col("change_type") == t).alias(t)
           for t in ("changed", "added", "removed", "unchanged")])
+    counts = pairs.select("pair_id").distinct().join(counts, "pair_id", "left").fillna(0)
     return counts.withColumn("summary", F.concat(
         F.lit("Compared "), F.col("compared").cast("string"), F.lit(" recorded values and terms: "),
         F.col("changed").cast("string"), F.lit(" changed, "), F.col("added").cast("string"),

@@ -57,11 +57,11 @@ def find_all(text: Column, pattern: str, build, needs: str | None = None) -> Col
 def _hit(order: int, kind: str, raw, norm, confidence, i, snip) -> Column:
     # sort order: type, text, then rule and position, so the first mention comes first
     return F.struct(
-        F.lit(kind).alias("entity_type"), F.substring(strip(raw), 1, 490).alias("raw_text"),
+        F.lit(kind).alias("entity_type"), strip(raw).alias("raw_text"),
         F.lit(order).alias("rule"), i.alias("i"),
         norm.cast("string").alias("normalized_text"),
         confidence.cast("double").alias("normalized_confidence"),
-        F.substring(snip, 1, 1000).alias("source_snippet"))
+        snip.alias("source_snippet"))
 
 
 def _dates(text, order, pattern, fmt, flags, needs=None):
@@ -162,10 +162,10 @@ MEASUREMENT_COLUMNS = ("name", "value_raw", "value_num", "unit", "unit_confidenc
 
 def _measurement(name, raw, num, unit, ref, flag, snip) -> Column:
     return let(normalize_unit(unit), lambda u: F.struct(
-        F.substring(name, 1, 190).alias("name"), F.substring(raw, 1, 90).alias("value_raw"),
+        name.alias("name"), raw.alias("value_raw"),
         num.try_cast("double").alias("value_num"), u["unit"].alias("unit"),
         u["confidence"].alias("unit_confidence"),
-        F.substring(F.nullif(ref, F.lit("")), 1, 90).alias("reference_range"),
+        F.nullif(ref, F.lit("")).alias("reference_range"),
         flag.alias("flag"), snip.alias("source_snippet")))
 
 
@@ -182,7 +182,7 @@ def measurement_hits(text: Column) -> Column:
     return F.transform(usable, lambda r: _measurement(
         title_case(strip(r["g"][0])), r["g"][1], r["g"][1], r["g"][2], r["g"][3],
         F.upper(F.nullif(F.regexp_replace(r["g"][4], r"[()]", ""), F.lit(""))),
-        F.substring(r["line"], 1, 300)))
+        r["line"]))
 
 
 def extract_measurements(sections: DataFrame) -> DataFrame:

@@ -69,14 +69,14 @@ def owner_stats(counted: DataFrame, questions: DataFrame, comparisons: DataFrame
 
 def newest_runs(runs: DataFrame, kind: str | None = None, limit: int = 50) -> DataFrame:
     wanted = runs if kind is None else runs.filter(F.col("kind") == kind)
-    return wanted.orderBy(F.desc("created_at"), F.desc("run_id")).limit(min(limit, 200))
+    return wanted.orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
 
 
 def run_rollup(runs: DataFrame) -> DataFrame:
     return runs.groupBy("kind").agg(
         F.count("*").alias("runs"), F.count_if(~F.col("success")).alias("failures"),
         F.round(F.avg("duration_ms"), 4).alias("mean_ms"),
-        F.percentile_approx("duration_ms", 0.5, 100_000).alias("median_ms"))
+        F.percentile("duration_ms", 0.5).alias("median_ms"))
 
 
 def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -14,7 +14,6 @@ from reportloom.functions.text import (
     clean_text, is_page_number, line_fingerprint, lines_of, strip, word_count)
 
 PAGE_TYPE = "array<struct<page_number:int,text:string,method:string>>"
-MAX_PAGES = 120
 
 
 def _as_pages(texts: Column) -> Column:
@@ -165,23 +164,26 @@ def recognised_pages(words: DataFrame) -> DataFrame:
 
 
 def classify_pages(pages: DataFrame, min_conf: float = 40, min_ocr_chars: int = 10,
-                   min_text_chars: int = 20, ocr_cap: int = 40,
-                   max_pages: int = MAX_PAGES) -> DataFrame:
+                   min_text_chars: int = 20, ocr_cap: int | None = None,
+                   max_pages: int | None = None) -> DataFrame:
     """How each page got its text: ``text``, ``ocr``, ``ocr-failed`` or ``empty``.
 
-    Input ``doc_id, page_number, native_text, ocr_text, ocr_confidence``. A document
-    has at most ``max_pages`` pages here, so the window below is bounded.
+    Input ``doc_id, page_number, native_text, ocr_text, ocr_confidence``. Every page
+    counts unless ``max_pages`` or ``ocr_cap`` (recognised pages of a document) is set.
     """
     native = strip(F.coalesce(F.col("native_text"), F.lit("")))
     is_text = F.length(native) >= min_text_chars
     readable = (~is_text & (F.coalesce("ocr_confidence", F.lit(0.0)) >= min_conf)
                 & (F.length(F.coalesce("ocr_text", F.lit(""))) >= min_ocr_chars))
-    w = W.partitionBy("doc_id").orderBy("page_number").rowsBetween(W.unboundedPreceding, 0)
-    nth = F.sum(readable.cast("int")).over(w)
-    method = (F.when(is_text, "text").when(readable & (nth <= ocr_cap), "ocr")
+    allowed = readable
+    if ocr_cap is not None:
+        w = W.partitionBy("doc_id").orderBy("page_number").rowsBetween(W.unboundedPreceding, 0)
+        allowed = readable & (F.sum(readable.cast("int")).over(w) <= ocr_cap)
+    if max_pages is not None:
+        pages = pages.filter(F.col("page_number") <= max_pages)
+    method = (F.when(is_text, "text").when(allowed, "ocr")
               .when(native == "", "ocr-failed").otherwise("empty"))
-    return (pages.filter(F.col("page_number") <= max_pages)
-            .withColumn("method", method)
+    return (pages.withColumn("method", method)
             .select("doc_id", "page_number", "method",
                     F.when(F.col("method") == "text", native)
                     .when(F.col("method") == "ocr", F.col("ocr_text"))

@@ -58,7 +58,7 @@ def document_fields(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """Title, counts, type, status, version and date of every document."""
     heads = prepare(docs).select(
         "doc_id",
-        F.substring(F.coalesce("body.title", "filename"), 1, 500).alias("title"),
+        F.coalesce("body.title", "filename").alias("title"),
         F.col("body.counts.page_count").alias("page_count"),
         F.col("body.counts.word_count").alias("word_count"),
         F.lit("txt").alias("doc_type"), F.col("body.gate.status").alias("status"),

@@ -121,16 +121,8 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and second report of every owner.
-
-    ``row_number <= 2`` is cut to two rows per owner before the shuffle (window
-    group limit), so an owner with very many reports stays cheap.
-    """
+    """Every report with the next one of its owner; the pair is named by the earlier report."""
     o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    two = o.withColumn("visit", F.row_number().over(w)).filter("visit <= 2")
-    return (two.groupBy("o_custkey")
-            .agg(F.max(F.when(F.col("visit") == 1, F.col("o_orderkey"))).alias("doc_a"),
-                 F.max(F.when(F.col("visit") == 2, F.col("o_orderkey"))).alias("doc_b"))
-            .filter("doc_b is not null")
-            .select(F.col("o_custkey").alias("pair_id"), "doc_a", "doc_b"))
+    return o.select(F.col("o_orderkey").alias("pair_id"), F.col("o_orderkey").alias("doc_a"),
+                    F.lead("o_orderkey").over(w).alias("doc_b")).filter("doc_b is not null")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reportloom.operators import chunk as C
 from reportloom.plans import ingest
 from reportloom.sources.files import decode_text, validate_manifest
 
@@ -28,17 +29,21 @@ def stream_text_files(spark: SparkSession, path: str) -> DataFrame:
 def start_ingest(documents: DataFrame, out: str, checkpoint: str):
     """Derive status and chunks of arriving documents and append them below ``out``.
 
-    A batch owns its folders: when it is retried it replaces what it wrote before.
+    A batch is parsed once; documents that fail leave a status and no chunks. A batch owns
+    its folders: when it is retried it replaces what it wrote before.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         accepted = batch.filter("reject_reason is null") if "reject_reason" in batch.columns else batch
-        prepared = ingest.prepare(accepted.select("doc_id", "text"))
+        prepared = ingest.prepare(accepted.select("doc_id", "text")).persist()
         status = prepared.select("doc_id", "body.gate.status", "body.gate.message")
         if "reject_reason" in batch.columns:
             status = status.unionByName(batch.filter("reject_reason is not null").select(
                 "doc_id", F.lit("failed").alias("status"), F.col("reject_reason").alias("message")))
         status.write.mode("overwrite").parquet(f"{out}/status/batch={epoch}")
-        ingest.chunks_of(accepted).write.mode("overwrite").parquet(f"{out}/chunks/batch={epoch}")
+        good = prepared.filter("body.gate.status = 'completed'")
+        C.explode_chunks(good, C.document_chunks(F.col("body.sections"))).write.mode("overwrite").parquet(
+            f"{out}/chunks/batch={epoch}")
+        prepared.unpersist()
 
     return (documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

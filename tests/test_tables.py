@@ -125,3 +125,36 @@ def test_rows_of_a_page_listing(spark):
     got = sorted(r.doc_id for r in O.list_documents(docs, 1, 2).collect())
     assert got == [4, 5, 6, 7]
     assert O.newest_runs(docs.select(F.col("doc_id").alias("run_id"), "created_at"), limit=3).count() == 3
+
+
+def _measured(*rows):
+    return [(d, i, name, str(v), float(v), None, None, None, 1, None, f"{name} {v}") for d, i, name, v in rows]
+
+
+MEASURED = ("doc_id long, ord int, name string, value_raw string, value_num double, unit string, reference_range string, "
+            "flag string, page_number int, section_idx int, source_snippet string")
+
+
+def test_comparison_notes_and_pairs_without_rows(spark):
+    from reportloom.operators import compare as A
+    rows = _measured((1, 0, "Iron", 1.0), (2, 0, "Iron", 1.0005), (1, 1, "Zinc", 10), (2, 1, "Zinc", 25000000),
+                     (1, 2, "Lead", 3), (2, 2, "Gold", 4), (1, 3, "Tin", 2.5), (2, 3, "Tin", 2.50))
+    pairs = spark.createDataFrame([(7, 1, 2), (8, 3, 4)], "pair_id long, doc_a long, doc_b long")
+    compared = A.compare_measurements(pairs, spark.createDataFrame(rows, MEASURED))
+    titles = spark.createDataFrame([(1, "June"), (2, "July"), (3, "x"), (4, "y")], "doc_id long, title string")
+    notes = {r["item"]: r for r in A.note_missing(compared, pairs, titles).collect()}
+    assert "(+0.0005)" in notes["Iron"].change_note and "(+24999990.0)" in notes["Zinc"].change_note
+    assert (notes["Lead"].change_type, notes["Gold"].change_type, notes["Tin"].change_type) == ("removed", "added", "unchanged")
+    assert "June" in notes["Lead"].change_note and "July" in notes["Gold"].change_note
+    terms = spark.createDataFrame([], "pair_id long, change_type string")
+    done = {r.pair_id: r for r in A.comparison_summary(compared, terms, pairs).collect()}
+    assert done[8].compared == 0 and done[8].summary.startswith("Compared 0 ")
+    assert (done[7].changed, done[7].added, done[7].removed, done[7].unchanged) == (2, 1, 1, 1)
+
+
+def test_recall_counts_six_ranks(spark):
+    from reportloom.operators import evaluate as E
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    hits = spark.createDataFrame([(1, 2), (2, 9)], "query_id int, rank int")
+    row = E.retrieval_eval(cases, hits).first()
+    assert (row.recall_at_3, row.recall_at_6) == (0.3333, 0.3333)
