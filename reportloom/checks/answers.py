@@ -160,18 +160,18 @@ def _(spark, sf_dir):
 
 
 @check("g10_validate_rewrites", with_(B.REPORT, """
-SELECT doc_id AS query_id, 0 AS position, 'Collected sample on ' || date_text || '.' AS text, '[1]' AS refs FROM rep
+SELECT doc_id AS query_id, 0 AS position, 'Drawn sample on ' || date_text || '.' AS text, '[1]' AS refs FROM rep
 UNION ALL SELECT doc_id, 2, 'Seen by ' || doctor || ' there.', '[1],[2]' FROM rep"""))
 def _(spark, sf_dir):
     """Rewrites with a cited, an uncited, a doubly cited and an invented sentence."""
     docs = reports(spark, sf_dir)
-    line = F.regexp_extract("text", r"Collected: ([^\n]+)", 1)
-    doctor = F.regexp_extract("text", r"Physician: ([^\n]+)", 1)
+    line = F.regexp_extract("text", r"Drawn on: ([^\n]+)", 1)
+    doctor = F.regexp_extract("text", r"Seen by: ([^\n]+)", 1)
     chosen = F.array(
-        F.struct(F.concat(F.lit("Collected sample "), line, F.lit(".")).alias("text"), F.lit("[1]").alias("ref")),
+        F.struct(F.concat(F.lit("Drawn sample "), line, F.lit(".")).alias("text"), F.lit("[1]").alias("ref")),
         F.struct(F.concat(F.lit("Seen by "), doctor).alias("text"), F.lit("[2]").alias("ref")))
     rewrite = F.concat(
-        F.lit("Collected sample on "), line, F.lit(" (1). Nothing is cited here. Seen by "),
+        F.lit("Drawn sample on "), line, F.lit(" (1). Nothing is cited here. Seen by "),
         F.regexp_replace(doctor, r"Dr\. ", "Dr.#"), F.lit(" there (2)(1). Invented claim altogether (2). Out of range (9)."))
     return (A.validate_rewrites(docs.select(F.col("doc_id").alias("query_id"), rewrite.alias("rewrite"),
                                             chosen.alias("sentences")))

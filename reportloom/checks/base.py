@@ -53,7 +53,7 @@ REPORT = f"""{LAB},
 labtext AS (
   SELECT doc_id,
     string_agg(analyte || ': ' || q || ' ' || unit || ' [5-40]' || CASE WHEN flag = 'H' THEN ' (H)' ELSE '' END, {NL} ORDER BY line_idx) AS labs,
-    string_agg(drug || ' ' || dose || ' mg once daily.', {NL} ORDER BY line_idx) AS meds
+    string_agg(drug || ' ' || dose || ' mg with breakfast.', {NL} ORDER BY line_idx) AS meds
   FROM lab GROUP BY doc_id),
 rep AS (
   SELECT o_orderkey AS doc_id, o_custkey AS owner_id, o_orderkey % 4 AS style,
@@ -73,7 +73,7 @@ rep AS (
     {mapping(R.REMARKS, 'o_orderpriority', "''")} AS remark
   FROM orders LEFT JOIN labtext ON o_orderkey = doc_id),
 rnotes AS (
-  SELECT *, 'BP ' || bp || '. Temperature ' || temp || ' C. Follow-up scheduled '
+  SELECT *, 'BP ' || bp || '. Oral reading ' || temp || ' C. Next contact set for '
     || strftime(follow_up, '%Y-%m-%d') || '.' || remark AS notes FROM rep)"""
 
 
@@ -85,14 +85,14 @@ def _section(idx: int, title: str, kind: str | None, text: str) -> str:
 
 SECTIONS = f"""{REPORT},
 sec AS (
-  {_section(0, "'Preamble'", None, "clinic || ' - Visit Report'")} UNION ALL
-  {_section(1, "'Patient Information'", 'patient_info', f"'Patient: Customer ' || owner_id || {NL} || 'Referring Physician: ' || doctor")} UNION ALL
-  {_section(2, "'MRN: 000-' || mrn", None, "''")} UNION ALL
-  {_section(3, "'Specimen'", 'specimen', f"'Type: Venous blood' || {NL} || 'Collected: ' || date_text")} UNION ALL
-  {_section(4, "'Laboratory Results'", 'labs', 'labs')} UNION ALL
-  {_section(5, "'Medications'", 'medications', 'meds')} UNION ALL
-  {_section(6, "'Assessment and Plan'", 'assessment', 'plan')} UNION ALL
-  {_section(7, "'Notes'", 'notes', 'notes')})"""
+  {_section(0, "'Preamble'", None, "clinic || ' - Outpatient Letter'")} UNION ALL
+  {_section(1, "'Patient Info'", 'patient_info', f"'Regarding: Client ' || owner_id || {NL} || 'Seen by: ' || doctor")} UNION ALL
+  {_section(2, "'FILE: 7-' || mrn", None, "''")} UNION ALL
+  {_section(3, "'Specimen'", 'specimen', f"'Source: capillary draw' || {NL} || 'Drawn on: ' || date_text")} UNION ALL
+  {_section(4, "'Lab Results'", 'labs', 'labs')} UNION ALL
+  {_section(5, "'Current Medications'", 'medications', 'meds')} UNION ALL
+  {_section(6, "'Assessment'", 'assessment', 'plan')} UNION ALL
+  {_section(7, "'Clinical Notes'", 'notes', 'notes')})"""
 
 # sections of a report are far below the chunk size: one chunk each, blank ones none
 CHUNKS = f"""{SECTIONS},
@@ -181,10 +181,10 @@ CLEANED = cleaned_sql(HOT)
 DOSSIER = f"""{REPORT},
 paged AS (
   SELECT owner_id AS doc_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY created_at, doc_id) AS INT) AS page_number,
-    clinic || ' - Visit Report' || repeat({NL}, 2) || 'Patient Information' || {NL} || 'Patient: Customer ' || owner_id || {NL}
-    || 'Referring Physician: ' || doctor || {NL} || 'MRN: 000-' || mrn || repeat({NL}, 2) || 'Specimen' || {NL} || 'Type: Venous blood' || {NL}
-    || 'Collected: ' || date_text || repeat({NL}, 2) || 'Laboratory Results' || {NL} || labs || repeat({NL}, 2) || 'Medications' || {NL} || meds
-    || repeat({NL}, 2) || 'Assessment and Plan' || {NL} || plan || repeat({NL}, 2) || 'Notes' || {NL} || notes || {NL} || 'Page 1 of 1' AS text
+    clinic || ' - Outpatient Letter' || repeat({NL}, 2) || 'Patient Info' || {NL} || 'Regarding: Client ' || owner_id || {NL}
+    || 'Seen by: ' || doctor || {NL} || 'FILE: 7-' || mrn || repeat({NL}, 2) || 'Specimen' || {NL} || 'Source: capillary draw' || {NL}
+    || 'Drawn on: ' || date_text || repeat({NL}, 2) || 'Lab Results' || {NL} || labs || repeat({NL}, 2) || 'Current Medications' || {NL} || meds
+    || repeat({NL}, 2) || 'Assessment' || {NL} || plan || repeat({NL}, 2) || 'Clinical Notes' || {NL} || notes || {NL} || '1 / 1' AS text
   FROM rnotes)"""
 DOSSIER_CLEANED = cleaned_sql(hot_sql(DOSSIER))
 

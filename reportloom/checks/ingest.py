@@ -228,7 +228,7 @@ def _(spark, sf_dir):
 
 # --- structure ------------------------------------------------------------------------
 
-@check("t1_detect_title", with_(B.REPORT, "SELECT doc_id, clinic || ' - Visit Report' AS title FROM rep"))
+@check("t1_detect_title", with_(B.REPORT, "SELECT doc_id, clinic || ' - Outpatient Letter' AS title FROM rep"))
 def _(spark, sf_dir):
     return reports(spark, sf_dir).select("doc_id", S.detect_title(ingest.cleaned_pages(F.col("text"))).alias("title"))
 
@@ -377,8 +377,8 @@ def _(spark, sf_dir):
 
 
 @check("x11_snippet", with_(B.REPORT, f"""
-SELECT doc_id, 'BP ' || bp || '. Temperature ' || temp || ' C. Follow-up scheduled ' AS source_snippet FROM rep WHERE false
-UNION ALL SELECT doc_id, {trim("substring('BP ' || bp || '. Temperature ' || temp || ' C. Follow-up scheduled ' || strftime(follow_up, '%Y-%m-%d') || '.' || remark, 1, 3 + len(bp) + 60)")} FROM rep"""))
+SELECT doc_id, 'BP ' || bp || '. Oral reading ' || temp || ' C. Next contact set for ' AS source_snippet FROM rep WHERE false
+UNION ALL SELECT doc_id, {trim("substring('BP ' || bp || '. Oral reading ' || temp || ' C. Next contact set for ' || strftime(follow_up, '%Y-%m-%d') || '.' || remark, 1, 3 + len(bp) + 60)")} FROM rep"""))
 def _(spark, sf_dir):
     return (entities(spark, sf_dir, X.extract_blood_pressure).filter("section_idx = 7")
             .select("doc_id", "source_snippet"))
@@ -438,12 +438,12 @@ def _(spark, sf_dir):
 
 
 @check("x18_document_fields", with_(B.REPORT, f"""
-SELECT doc_id, clinic || ' - Visit Report' AS title, 1 AS page_count, 'txt' AS doc_type, 'completed' AS status,
+SELECT doc_id, clinic || ' - Outpatient Letter' AS title, 1 AS page_count, 'txt' AS doc_type, 'completed' AS status,
   '1.0.0' AS pipeline_version, strftime(d, '%Y-%m-%d') AS doc_date,
   CAST(len(string_split(regexp_replace(trim(
-    clinic || ' - Visit Report Patient Information Patient: Customer ' || owner_id || ' Referring Physician: ' || doctor
-    || ' MRN: 000-' || mrn || ' Specimen Type: Venous blood Collected: ' || date_text || ' Laboratory Results ' || labs
-    || ' Medications ' || meds || ' Assessment and Plan ' || plan || ' Notes ' || notes), '\\s+', ' ', 'g'), ' ')) AS INT) AS word_count
+    clinic || ' - Outpatient Letter Patient Info Regarding: Client ' || owner_id || ' Seen by: ' || doctor
+    || ' FILE: 7-' || mrn || ' Specimen Source: capillary draw Drawn on: ' || date_text || ' Lab Results ' || labs
+    || ' Current Medications ' || meds || ' Assessment ' || plan || ' Clinical Notes ' || notes), '\\s+', ' ', 'g'), ' ')) AS INT) AS word_count
 FROM rnotes"""))
 def _(spark, sf_dir):
     docs = reports(spark, sf_dir)

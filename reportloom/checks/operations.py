@@ -120,13 +120,13 @@ def _(spark, sf_dir):
 
 @check("o9_check_provenance", with_(_COUNTED, """
 SELECT 'page-document' AS link, o_orderkey AS doc_id, 1 AS rows FROM orders WHERE o_orderstatus = 'P'
-UNION ALL SELECT 'chunk-section', doc_id, count(*) FROM chk WHERE section_title = 'Notes' GROUP BY doc_id"""))
+UNION ALL SELECT 'chunk-section', doc_id, count(*) FROM chk WHERE section_title = 'Clinical Notes' GROUP BY doc_id"""))
 def _(spark, sf_dir):
     """Documents still in processing and all Notes sections are taken away first."""
     pages = P.explode_pages(reports(spark, sf_dir), P.paginate_paragraphs(F.col("text")))
     sections = stored_sections(spark, sf_dir)
     known = order_documents(spark, sf_dir).filter("status = 'completed'")
-    return O.check_provenance(known, pages, sections.filter("title <> 'Notes'"), stored_chunks(spark, sf_dir))
+    return O.check_provenance(known, pages, sections.filter("title <> 'Clinical Notes'"), stored_chunks(spark, sf_dir))
 
 
 @check("o10_audit_rollup", """
@@ -150,7 +150,7 @@ def _(spark, sf_dir):
     return E.prf(docs.filter("n_chars > 1500"), gold, "source", "doc_id")
 
 
-_GOLD_WORDS = ("mg once daily", "glucose", "mmhg", "ratio")
+_GOLD_WORDS = ("mg with breakfast", "glucose", "mmhg", "ratio")
 
 
 @check("e2_retrieval_eval", with_(REPORT_SEARCH, f"""

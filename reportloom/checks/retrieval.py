@@ -13,8 +13,8 @@ from reportloom.operators import chunk as C, retrieve as R
 from reportloom.plans.store import stored
 from reportloom.sources import corpus, render
 
-QUESTIONS = ("What medications are mentioned?", "What is the glucose value?",
-             "What was the blood pressure?", "What is the patient's cholesterol ratio?")
+QUESTIONS = ("Which medications does the letter list?", "What is the glucose value?",
+             "What was the blood pressure?", "Is an apolipoprotein ratio given?")
 
 
 def report_questions(spark, sf_dir):
