@@ -30,7 +30,6 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -216,11 +215,9 @@ def _small_groups(fp: np.ndarray, side: np.ndarray, own: np.ndarray, group: np.n
 
 def _verifier(limit: int, small: int = 64):
     """``mapInArrow`` over rows sorted by meeting: edges of every meeting, one batch of meetings at a time."""
-    def edges_of(t: pd.DataFrame) -> np.ndarray:
-        fp, side, own = (t[c].to_numpy() for c in ("fp", "side", "own"))
+    def edges_of(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, own: np.ndarray) -> np.ndarray:
         fp = fp.view(np.uint64)
-        keys = t[["part", "value", "i", "j"]].to_numpy()
-        head = np.ones(len(t), bool)
+        head = np.ones(len(fp), bool)
         head[1:] = (keys[1:] != keys[:-1]).any(1)
         group = np.cumsum(head) - 1
         size = np.bincount(group)
@@ -242,19 +239,20 @@ def _verifier(limit: int, small: int = 64):
     def run(batches):
         held = None
         for batch in batches:
-            t = batch.to_pandas()
+            now = [np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("part", "value", "i", "j")], 1),
+                   *(batch.column(c).to_numpy() for c in ("fp", "side", "own"))]
             if held is not None:
-                t = pd.concat([held, t], ignore_index=True)
-            if t.empty:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            keys = now[0]
+            if not len(keys):
                 continue
-            keys = t[["part", "value", "i", "j"]].to_numpy()
             same = (keys == keys[-1]).all(1)
-            cut = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
-            held, t = t.iloc[cut:], t.iloc[:cut]
-            if len(t):
-                yield _edge_batch(edges_of(t))
-        if held is not None and len(held):
-            yield _edge_batch(edges_of(held))
+            cut = len(keys) - int(np.argmin(same[::-1])) if not same.all() else 0
+            held = [x[cut:] for x in now]
+            if cut:
+                yield _edge_batch(edges_of(*(x[:cut] for x in now)))
+        if held is not None:
+            yield _edge_batch(edges_of(*held))
     return run
 
 
@@ -297,8 +295,8 @@ def classes_of(marked: DataFrame, id_col: str, limit: int = 3, fit_rows: int = 8
     its component that stands for it, and the smallest id in the component."""
     classes = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "classes")
     total = classes.count()
-    sample = classes.select("fp").orderBy(F.xxhash64(F.lit(4), "fp")).limit(fit_rows).toPandas()["fp"]
-    plan = fit_plan(sample.to_numpy(np.int64).view(np.uint64), total, limit)
+    sample = classes.select("fp").orderBy(F.xxhash64(F.lit(4), "fp")).limit(fit_rows).toArrow().column("fp")
+    plan = fit_plan(sample.to_numpy().astype(np.int64).view(np.uint64), total, limit)
     edges = materialize(links(classes.select("fp"), plan, limit, block), "links")
     roots = materialize(components(edges).withColumnRenamed("node", "fp"), "roots")
     discard(edges)

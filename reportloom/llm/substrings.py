@@ -30,6 +30,7 @@ nothing. An empty table gives no rows. Extra columns of any name pass through
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +118,8 @@ def _merge(per_slice: int):
 
 
 def sketch(docs: DataFrame, text_col: str = "text", size: int = WINDOW, gram: int = GRAM, depth: int = 2,
-           log2_cells: int = 27, salts: int = 16) -> np.ndarray:
-    """Bits of the cells that count two or more, one row of bytes per sketch row."""
+           log2_cells: int = 27, salts: int = 16) -> dict[int, bytes]:
+    """Bits of the cells that count two or more: slice to compressed bytes (no bytes: no such cell)."""
     per_slice = (1 << log2_cells) // _SLICES
 
     def count(batches):
@@ -142,13 +143,18 @@ def sketch(docs: DataFrame, text_col: str = "text", size: int = WINDOW, gram: in
         for batch in _merge(per_slice)(batches):
             bits = np.zeros(per_slice, np.uint8)
             bits[np.frombuffer(batch.column("more")[0].as_buffer(), "<u4")] = 1
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array([np.packbits(bits).tobytes()])],
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)])],
                                              ["slice", "bits"])
 
     whole = half.repartition("slice").sortWithinPartitions("slice").mapInArrow(packed, "slice int, bits binary")
-    out = np.zeros((depth * _SLICES, per_slice // 8), np.uint8)
-    for row in whole.toLocalIterator():
-        out[row.slice] = np.frombuffer(row.bits, np.uint8)
+    return {row.slice: bytes(row.bits) for row in whole.toLocalIterator()}
+
+
+def _unpacked(slices: dict[int, bytes], depth: int, log2_cells: int) -> np.ndarray:
+    """One row of bytes per sketch row."""
+    out = np.zeros((depth * _SLICES, (1 << log2_cells) // _SLICES // 8), np.uint8)
+    for s, bits in slices.items():
+        out[s] = np.frombuffer(zlib.decompress(bits), np.uint8)
     return out.reshape(depth, -1)
 
 
@@ -179,10 +185,10 @@ def _places(keys: np.ndarray, records: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send(bits, size: int, gram: int, log2_cells: int, buckets: int):
+def _send(bits, size: int, gram: int, depth: int, log2_cells: int, buckets: int):
     """Pass 2 over a block: packed windows by bucket, and the places already known to repeat."""
     def run(batches):
-        table = bits.value
+        table = _unpacked(bits.value, depth, log2_cells)
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2")], 1)
             for first, last, data, offsets in blocks(batch.column("_text")):
@@ -298,7 +304,7 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = spark.sparkContext.broadcast(sketch(docs, text_col, size, gram, depth, log2_cells))
     buckets = buckets or 4 * shuffle_parts(docs)
     sent = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text")).mapInArrow(
-        _send(bits, size, gram, log2_cells, buckets), "bucket int, keys binary, packed binary")
+        _send(bits, size, gram, depth, log2_cells, buckets), "bucket int, keys binary, packed binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _group(buckets), "bucket int, packed binary")
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(

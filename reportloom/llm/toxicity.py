@@ -191,10 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         "_text is not null").join(F.broadcast(few), "_id")
     # one text per label, also where ids repeat; in the order of the hash again
     table = rows.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).orderBy(
-        F.xxhash64(F.lit(5), "_id"), "_id", "_toxic").toPandas()
-    if table.empty:
+        F.xxhash64(F.lit(5), "_id"), "_id", "_toxic").toArrow()
+    if not table.num_rows:
         return _nothing()
-    return fit_texts(table["_text"].tolist(), table["_toxic"].to_numpy() > 0, **options)
+    return fit_texts(table["_text"].to_pylist(), table["_toxic"].to_numpy() > 0, **options)
 
 
 _READY: dict = {}
