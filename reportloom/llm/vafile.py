@@ -55,7 +55,13 @@ def fit_cells(rows: DataFrame, dim: int, bits: int, fit_rows: int) -> tuple[np.n
     """Inner boundaries (dim, cells - 1), and least and greatest value of every cell (dim, cells)."""
     edge = {r.pos: (r.lo, r.hi) for r in rows.select(F.posexplode("v").alias("pos", "e")).groupBy("pos").agg(
         F.min("e").alias("lo"), F.max("e").alias("hi")).collect()}
-    sample = rows.select("v").orderBy(F.xxhash64(F.lit(6), "uid")).limit(fit_rows).toArrow().column(0).combine_chunks()
+    # hashes below a bound leave about fit_rows rows, so no task sorts more than that
+    share = min(1.0, 1.2 * fit_rows / max(rows.count(), 1))
+    mark = F.xxhash64(F.lit(6), "uid")
+    sample = rows.filter(mark <= int(min((2 * share - 1) * 2.0 ** 63, 2 ** 63 - 1))).select("v").orderBy(mark).limit(
+        fit_rows).toArrow().column(0).combine_chunks()
+    if not len(sample):
+        sample = rows.select("v").limit(fit_rows).toArrow().column(0).combine_chunks()
     cells = 1 << bits
     cuts = np.quantile(_matrix(sample, dim), np.arange(1, cells) / cells, axis=0, method="lower").T
     lo = np.concatenate([np.array([[edge[d][0]] for d in range(dim)]), cuts], 1).astype(float)

@@ -11,7 +11,7 @@
    class could absorb a kind). A pattern's posterior of being good follows.
 4. A linear scorer over hashed features (words, word shapes, bucketed shares) is
    trained by logistic regression on the posteriors of a bounded sample (``fit_rows``
-   rows, the least by a hash of the text). It scores all rows; ``kept`` is a score of at
+   different texts, the least by hash). It scores all rows; ``kept`` is a score of at
    least ``cutoff``.
 
 Gold labels are not used; tests hold the scores against them.
@@ -169,7 +169,12 @@ def fit(docs: DataFrame, text_col: str = "text", fit_rows: int = 5000) -> tuple[
     codes, n = np.array([r.pattern for r in counted], int), np.array([r.n for r in counted], float)
     labels = estimate(codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, n)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sample = docs.select(text.alias("_text")).orderBy(F.xxhash64("_text"), "_text").limit(fit_rows).toArrow().column(0)
+    # hashes below a bound leave about fit_rows rows of any number of rows; copies count once
+    share = min(1.0, 1.2 * fit_rows / max(n.sum(), 1))
+    low = docs.select(text.alias("_text")).withColumn("_h", F.xxhash64("_text")).filter(
+        F.col("_h") <= int(min((2 * share - 1) * 2.0 ** 63, 2 ** 63 - 1)))
+    sample = low.groupBy("_h").agg(F.min("_text").alias("_text")).orderBy("_h").limit(fit_rows).select(
+        "_text").toArrow().column(0)
     parts, target, base = [], [], 0
     for first, last, data, offsets in blocks(sample):
         row, bin_, value, seen = features(data, offsets)
