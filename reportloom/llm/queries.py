@@ -95,5 +95,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+#: SQL where it can say the same over whole tables
+ORACLES["op3_substring_dedup"] = r"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS MATERIALIZED (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS seq
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+rep AS (SELECT seq FROM win GROUP BY seq HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM win JOIN rep USING (seq)),
+word AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r),
+cut AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r) LEFT JOIN cut USING (r)"""
+
+ORACLES["op7_exact_top_k"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r AS qr, q.vec_id AS query_id, c.r, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.e) = len(c.e))
+SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST, r) AS n FROM s) WHERE n <= 10"""
+
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
