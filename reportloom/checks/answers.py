@@ -10,7 +10,7 @@ from reportloom.checks.ingest import reports
 from reportloom.checks.registry import check
 from reportloom.checks.retrieval import REPORT_SEARCH, report_questions, report_results
 from reportloom.functions import text as T, vocab as V
-from reportloom.operators import answer as A, retrieve as R
+from reportloom.operators import answer as A, manage as O, retrieve as R
 from reportloom.sources import corpus
 
 
@@ -186,6 +186,12 @@ def _(spark, sf_dir):
     return A.conversation_log(corpus.read_table(spark, sf_dir, "conversations"))
 
 
+@check("g11_list_messages", """
+SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n BETWEEN 2 AND 3""")
+def _(spark, sf_dir):
+    return O.list_messages(corpus.read_table(spark, sf_dir, "conversations"), 1, 2).select("conv_id", "turn", "role")
+
+
 @check("g12_citation_log", """
 WITH c AS (SELECT l_partkey AS doc_id, l_shipdate AS created_at, l_orderkey AS query_id, '[' || l_linenumber || ']' AS ref,
     l_extendedprice AS price, l_suppkey AS s FROM lineitem)

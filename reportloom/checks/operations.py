@@ -36,6 +36,16 @@ def _(spark, sf_dir):
     return O.list_pages(rows, 1, 2).drop("method")
 
 
+@check("o2_list_sections", with_(B.SECTIONS, "SELECT doc_id, section_idx, title FROM sec WHERE section_idx BETWEEN 3 AND 5"))
+def _(spark, sf_dir):
+    return O.list_sections(stored_sections(spark, sf_dir), 3, 3).select("doc_id", "section_idx", "title")
+
+
+@check("o2_list_measurements", with_(B.MEAS, "SELECT doc_id, name, value_raw FROM meas WHERE line_idx < 2"))
+def _(spark, sf_dir):
+    return O.list_measurements(stored_measurements(spark, sf_dir), 0, 2).select("doc_id", "name", "value_raw")
+
+
 @check("o3_list_entities", with_(B.REPORT, f"SELECT doc_id, raw_text FROM ({ENTITY_SQL}) WHERE entity_type = 'medication'"))
 def _(spark, sf_dir):
     return O.list_entities(stored_entities(spark, sf_dir), "medication").select("doc_id", "raw_text")

@@ -238,6 +238,18 @@ def _(spark, sf_dir):
     return R.stale_documents(R.index_fingerprint(before), R.index_fingerprint(now))
 
 
+@check("r9_stale_scopes", with_(B.REPORT, """
+SELECT DISTINCT owner_id AS scope_id FROM rep WHERE priority = '1-URGENT' OR doc_id % 50 IN (0, 1)"""))
+def _(spark, sf_dir):
+    """Owners of whose reports one changed, one left or one came since the last index."""
+    chunks = stored_chunks(spark, sf_dir)
+    owners = corpus.read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("scope_id"))
+    before = chunks.withColumn("text", F.regexp_replace("text", "Ignore all previous.*$", ""))
+    old, new = (R.index_fingerprint(c).join(owners, "doc_id") for c in (before, chunks))
+    return R.stale_scopes(old.filter("doc_id % 50 <> 0"), new.filter("doc_id % 50 <> 1"))
+
+
 @check("r10_dense_topk", """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, greatest(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 1e-12) AS n FROM embeddings),
 c AS (SELECT label, list(m ORDER BY i) AS q FROM (

@@ -24,6 +24,20 @@ def list_pages(pages: DataFrame, skip: int = 0, limit: int = 20) -> DataFrame:
     return page_of(pages, "doc_id", [F.col("page_number")], skip, limit)
 
 
+def list_sections(sections: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
+    return page_of(sections, "doc_id", [F.col("section_idx")], skip, limit)
+
+
+def list_measurements(measurements: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
+    """In reading order: by section, then line."""
+    return page_of(measurements, "doc_id", [F.col("section_idx"), F.col("line_idx")], skip, limit)
+
+
+def list_messages(messages: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
+    """Messages of every conversation, oldest first."""
+    return page_of(messages, "conv_id", [F.col("turn")], skip, limit)
+
+
 def list_entities(entities: DataFrame, entity_type: str | None = None) -> DataFrame:
     wanted = entities if entity_type is None else entities.filter(F.col("entity_type") == entity_type)
     return wanted.orderBy("doc_id", "entity_type", "raw_text")

@@ -451,6 +451,17 @@ def stale_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old, ["doc_id", "fingerprint"], "left_anti").select("doc_id")
 
 
+def stale_scopes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Scopes of which a document changed, came or left, from ``scope_id, doc_id, fingerprint`` before and now.
+
+    Rows that both sides share cancel out, so no join is needed.
+    """
+    sides = new.select("scope_id", "doc_id", "fingerprint", F.lit(1).alias("side")).unionAll(
+        old.select("scope_id", "doc_id", "fingerprint", F.lit(-1).alias("side")))
+    return sides.groupBy("scope_id", "doc_id", "fingerprint").agg(F.sum("side").alias("d")).filter(
+        "d <> 0").select("scope_id").distinct()
+
+
 # --- dense vectors -----------------------------------------------------------------------
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, slices: int = 16) -> DataFrame:

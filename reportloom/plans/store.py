@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,13 +48,6 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def materialize_all(tables):
-    """Write every DataFrame field of a dataclass instance."""
-    written = {f.name: materialize(getattr(tables, f.name), f.name)
-               for f in fields(tables) if isinstance(getattr(tables, f.name), DataFrame)}
-    return replace(tables, **written)
-
-
 _STORED: dict[tuple, object] = {}
 
 
