@@ -163,11 +163,11 @@ def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def per_block(fn: Callable[..., dict], schema: pa.Schema, text: str) -> Callable:
+def per_block(fn: Callable[..., dict], schema: pa.Schema, text: str, limit: int = BLOCK_BYTES) -> Callable:
     """A ``mapInArrow`` function: ``fn(rows, data, offsets)`` gives columns for a block of rows."""
     def run(batches):
         for batch in batches:
-            for first, last, data, offsets in blocks(batch.column(text)):
+            for first, last, data, offsets in blocks(batch.column(text), limit):
                 out = fn(batch.slice(first, last - first), data, offsets)
                 if out:
                     yield pa.RecordBatch.from_arrays([_as(out[f.name], f.type) for f in schema], schema=schema)

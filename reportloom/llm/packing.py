@@ -49,7 +49,7 @@ class _WordEncoder:
 
     _MARKS = {bytes([c]): bytes([c]) for c in b".,;:!?"}
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)

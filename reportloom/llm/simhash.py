@@ -40,6 +40,8 @@ from reportloom.llm.components import components
 from reportloom.plans.store import discard, materialize
 
 BITS = 64
+#: bytes of text at a time; a shingle takes some 300 bytes while it is hashed and counted
+BLOCK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -74,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {id_col: rows.column(0), "fp": block_fingerprints(data, offsets, width).view(np.int64)}
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text")).mapInArrow(
-        per_block(of, schema, "_text"), f"`{id_col}` long, fp long")
+        per_block(of, schema, "_text", BLOCK), f"`{id_col}` long, fp long")
 
 
 @dataclass(frozen=True)
@@ -323,7 +325,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 "fp": block_fingerprints(data, offsets, width).view(np.int64)}
 
     marked = materialize(docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(
-        "_text")).mapInArrow(per_block(of, schema, "_text"), "k1 long, k2 long, id long, fp long"), "fingerprints")
+        "_text")).mapInArrow(per_block(of, schema, "_text", BLOCK), "k1 long, k2 long, id long, fp long"), "fingerprints")
     groups = classes_of(marked, "id", limit, **options)
     stay = marked.join(groups, "fp").groupBy("root").agg(F.min(F.struct(
         F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("s")).select(

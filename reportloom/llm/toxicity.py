@@ -204,7 +204,8 @@ def _score(held, texts: pa.Array) -> np.ndarray:
     """Severities under a broadcast model; a worker builds its automaton once."""
     if held.value is not _READY.get("model"):
         _READY.update(model=held.value, finder=held.value.finder())
-    return held.value.severity(texts.to_pylist(), _READY["finder"])
+    parts = [held.value.severity(texts.slice(at, 512).to_pylist(), _READY["finder"]) for at in range(0, len(texts), 512)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def severities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
