@@ -43,7 +43,8 @@ class _WordEncoder:
     The tokenizer drops white space and never joins characters across it, ignores case, and
     takes a mark that ends a piece after an ASCII letter or digit as a token of its own. So a
     text's ids are those of its pieces, ASCII case can be folded first, and a piece with
-    such a mark is the piece and the mark. The memory holds ``most`` pieces and is then
+    such a mark is the piece and the mark. A piece with ``<|`` may hold a special token, which
+    the tokenizer knows by its case; it is encoded whole and as it stands. The memory holds ``most`` pieces and is then
     emptied.
     """
 
@@ -53,7 +54,6 @@ class _WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -72,7 +72,7 @@ class _WordEncoder:
         known, marks = self.known, self._MARKS
         plain, marked = set(), []
         for p in pieces.difference(known):
-            if p[-1:] in marks and len(p) > 1 and p[-2] < 128 and chr(p[-2]).isalnum():
+            if b"<|" not in p and p[-1:] in marks and len(p) > 1 and p[-2] < 128 and chr(p[-2]).isalnum():
                 marked.append(p)
                 plain.update((p[:-1], marks[p[-1:]]))
             else:
@@ -108,7 +108,11 @@ class _WordEncoder:
         """Little-endian 32-bit ids of every text."""
         out, pending, size = [], [], 0
         for i, text in enumerate(texts):
-            pending.append((text or "").encode().lower().split())
+            raw = (text or "").encode()
+            if b"<|" in raw:
+                pending.append([p if b"<|" in p else p.lower() for p in raw.split()])
+            else:
+                pending.append(raw.lower().split())
             size += len(pending[-1])
             if size > 500_000 or i == len(texts) - 1:
                 words = set()
