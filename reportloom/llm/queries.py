@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm import bpe, hilbert, packing, perplexity, pii, simhash, substrings, toxicity, vafile, weak_quality
+from reportloom.llm import (
+    bpe, hilbert, merkle, mixing, packing, perplexity, pii, simhash, substrings, toxicity, vafile, weak_quality)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,6 +90,18 @@ def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.scores(documents(spark, sf_dir))
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and what its tampered form folds to."""
+    return merkle.audit(documents(spark, sf_dir))
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes from every document so that sources meet their targets."""
+    return mixing.taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline, from raw documents to packed pieces."""
@@ -118,5 +131,68 @@ s AS (SELECT q.r AS qr, q.vec_id AS query_id, c.r, c.vec_id, CAST(list_dot_produ
 SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST, r) AS n FROM s) WHERE n <= 10"""
 
+#: unsigned CRC-32 of an ASCII string; the query reads ``crc_table`` beside its rows
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda r, b: xor(r >> 8, crc_row[CAST((xor(r, b) & 255) + 1 AS BIGINT)]))"""
+_CRC_TABLE = """crc_table AS MATERIALIZED (SELECT list(v ORDER BY n) AS crc_row FROM (SELECT n, list_reduce(list_prepend(n, range(0, 8)),
+  lambda r, i: CASE WHEN r & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), r >> 1) ELSE r >> 1 END) AS v
+  FROM (SELECT unnest(range(0, 256)) AS n)))"""
+
+
+def crc32_sql(x: str) -> str:
+    return f"xor({_CRC.format(x=x)}, CAST(4294967295 AS BIGINT))"
+
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen({x}) || ':' || {x}, '-')"
+
+
+_LEAF = " || ".join(_field(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
+_UP = """SELECT level + 1, g, i // 8, sha256(string_agg(d, '' ORDER BY i)), CAST(ceil(any_value(n) / 8.0) AS BIGINT)
+  FROM {t} WHERE n > 1 GROUP BY level, g, i // 8"""
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+doc AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, sha256({_LEAF} || {_field('text')}) AS leaf,
+  sha256({_LEAF} || {_field('shown')}) AS changed FROM (SELECT *, CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown FROM documents, crc_table)),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i,
+  dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY lang) AS n FROM doc),
+low AS (SELECT CAST(0 AS BIGINT) AS level, g, i, leaf AS d, n FROM placed UNION ALL {_UP.format(t='low')}),
+low_m AS MATERIALIZED (SELECT * FROM low),
+subs AS MATERIALIZED (SELECT g, d AS subroot, level AS top FROM low_m WHERE n = 1),
+high AS (SELECT CAST(0 AS BIGINT) AS level, CAST(-1 AS BIGINT) AS g, g AS i, subroot AS d, count(*) OVER () AS n FROM subs
+  UNION ALL {_UP.format(t='high')}),
+high_m AS MATERIALIZED (SELECT * FROM high),
+tree AS MATERIALIZED (SELECT level, g, i, d FROM low_m WHERE n > 1 UNION ALL SELECT level, g, i, d FROM high_m WHERE n > 1),
+path AS (SELECT r, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS level, g, i, changed AS f, '' AS proof, g AS own, top
+    FROM placed JOIN subs USING (g)
+  UNION ALL SELECT r, step + 1, CASE WHEN up THEN 0 ELSE level + 1 END, CASE WHEN up THEN -1 ELSE g END,
+    CASE WHEN up THEN own ELSE i // 8 END,
+    CASE WHEN up THEN f ELSE sha256((SELECT string_agg(CASE WHEN t.i = p.i THEN p.f ELSE t.d END, '' ORDER BY t.i)
+      FROM tree t WHERE t.level = p.level AND t.g = p.g AND t.i // 8 = p.i // 8)) END,
+    proof || CASE WHEN up THEN '' ELSE coalesce((SELECT string_agg(t.d, '' ORDER BY t.i)
+      FROM tree t WHERE t.level = p.level AND t.g = p.g AND t.i // 8 = p.i // 8 AND t.i <> p.i), '') END, own, top
+  FROM (SELECT *, g >= 0 AND level = top AS up FROM path) p
+  WHERE p.up OR EXISTS (SELECT 1 FROM tree t WHERE t.level = p.level AND t.g = p.g)),
+ends AS (SELECT r, arg_max(f, step) AS folded_root, arg_max(proof, step) AS proof FROM path GROUP BY r)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subs USING (g) JOIN ends USING (r), (SELECT d AS root FROM high_m WHERE n = 1)"""
+
+ORACLES["op13_source_mix"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(sha256('0:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source),
+-- sources stop in the order of size for weight; the first level that the next source does not stop below is the one
+o AS (SELECT *, sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER (ORDER BY source_size / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY source_size / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM s),
+l AS (SELECT rest, lft FROM o WHERE 3 * CAST(source_size AS HUGEINT) * lft >= w * rest ORDER BY source_size / w LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN 3 * CAST(source_size AS HUGEINT) * lft < w * rest THEN 3.0::DOUBLE * source_size
+  ELSE w::DOUBLE * rest::DOUBLE / lft::DOUBLE END AS target FROM s, l),
+x AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM t)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source"""
+
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
