@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.llm import (
-    bpe, hilbert, merkle, mixing, packing, perplexity, pii, simhash, substrings, toxicity, vafile, weak_quality)
+    bpe, hilbert, merkle, mixing, packing, perplexity, pii, repair, simhash, substrings, toxicity, vafile, weak_quality)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,12 @@ def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.scores(documents(spark, sf_dir))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every damaged conversation."""
+    return repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, roots and proof, and what its tampered form folds to."""
@@ -151,6 +157,55 @@ _LEAF = " || ".join(_field(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source"
 _UP = """SELECT level + 1, g, i // 8, sha256(string_agg(d, '' ORDER BY i)), CAST(ceil(any_value(n) / 8.0) AS BIGINT)
   FROM {t} WHERE n > 1 GROUP BY level, g, i // 8"""
 
+# least (cost, audit) per last role (start, system, user, assistant), row by row
+def _edit(state: str, cost: str, letter: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}}"
+
+
+def _inserted(s: str) -> str:
+    user = ", ".join([f"{s}[3]", *(_edit(f"{s}[{q}]", "5", "I") for q in (1, 2, 4))])
+    return f"[{s}[1], {s}[2], list_min([{user}]), list_min([{s}[4], {_edit(f'{s}[3]', '5', 'I')}])]"
+
+
+def _kept(letter: str) -> str:
+    return f"(CASE WHEN must OR l <> '{letter}' THEN 1000000000 ELSE pen END)"
+
+
+_RE = "(CASE WHEN must THEN 1000000000 ELSE pen + 1 END)"
+_USER = ", ".join([_edit("s[3]", "2", "D"), *(x for q in (1, 2, 4) for x in (
+    _edit(f"s[{q}]", _kept("u"), "K"), _edit(f"s[{q}]", _RE, "R")))])
+_STEP = (f"[{_edit('s[1]', '2', 'D')}, list_min([{_edit('s[2]', '2', 'D')}, {_edit('s[1]', _kept('s'), 'K')}]), list_min([{_USER}]), "
+         f"list_min([{_edit('s[4]', '2', 'D')}, {_edit('s[3]', _kept('a'), 'K')}, {_edit('s[3]', _RE, 'R')}])]")
+_FAR = "{'c': CAST(1000000000 AS BIGINT), 'a': ''}"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES["op11_conversation_repair"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+src AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, crc_table),
+hurt AS (SELECT g, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM src WHERE k <> 0),
+seen AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  right(rtrim(text, {_WHITE}), 1) AS z FROM hurt WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+rows AS MATERIALIZED (SELECT *, left(role, 1) AS l, z = '' AS blank, z <> '' AND again AS dup, z NOT IN ('', '.', '!', '?') AND NOT again AS cut,
+  z = '' OR again AS must, CASE WHEN z IN ('.', '!', '?') THEN 0 ELSE 5 END AS pen, lag(role) OVER (PARTITION BY g ORDER BY i) AS before FROM seen),
+walk AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, {_inserted(_inserted(f"[{{'c': CAST(0 AS BIGINT), 'a': ''}}, {_FAR}, {_FAR}, {_FAR}]"))} AS s FROM src
+  UNION ALL SELECT g, i, {_inserted('s')} FROM (SELECT g, i, {_inserted('s')} AS s FROM (
+    SELECT w.g, w.i + 1 AS i, {_STEP} AS s FROM walk w JOIN rows r ON r.g = w.g AND r.i = w.i + 1))),
+best AS MATERIALIZED (SELECT g, list_min([s[1], s[4]]) AS b FROM (SELECT g, arg_max(s, i) AS s FROM walk GROUP BY g)),
+edit AS (SELECT g, p, e, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS o FROM (
+  SELECT g, unnest(string_split(b.a, '')) AS e, generate_subscripts(string_split(b.a, ''), 1) AS p FROM best WHERE b.a <> '')
+  WINDOW w AS (PARTITION BY g ORDER BY p)),
+kept AS (SELECT e.*, r.role, r.text, max(CASE WHEN o = 1 AND e = 'K' AND l = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.g) AS sys
+  FROM edit e LEFT JOIN rows r ON r.g = e.g AND r.i = e.i AND e <> 'I' WHERE e <> 'D'),
+done AS (SELECT g, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+  CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS h FROM kept GROUP BY g),
+tally AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  count(*) FILTER (cut) AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || l NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, b.c AS cost, b.a AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM src) JOIN best USING (g) LEFT JOIN tally USING (g) LEFT JOIN done USING (g)"""
+
 ORACLES["op12_merkle_manifest"] = f"""
 WITH RECURSIVE {_CRC_TABLE},
 doc AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, sha256({_LEAF} || {_field('text')}) AS leaf,
