@@ -35,39 +35,57 @@ def _byte_values(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN + np.uint64(seed))
 
 
+#: Elements hashed at a time, so that powers and running sums stay small whatever the length of a text.
+SEGMENT = 1 << 16
+
+
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64; those for a segment are kept."""
 
     def __init__(self, base: int):
         self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
+        self.kept = self.run(2 * SEGMENT + 1)
+
+    def run(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        def powers(factor):
+            out = np.full(n, factor, np.uint64)
+            out[0] = 1
+            return np.multiply.accumulate(out)
+        return powers(self.base), powers(self.inverse)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            def run(factor):
-                out = np.full(n, factor, np.uint64)
-                out[0] = 1
-                return np.multiply.accumulate(out)
-            self.up, self.down = run(self.base), run(self.inverse)
-        return self.up[:n], self.down[:n]
+        up, down = self.kept if n <= len(self.kept[0]) else self.run(n)
+        return up[:n], down[:n]
 
 
 _POWERS = {0: _Powers(0xD6E8FEB86659FD93), 1: _Powers(0xA0761D6478BD642F)}
 _BYTES = {0: _byte_values(11), 1: _byte_values(23)}
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of ``values[starts:ends]``, equal for equal contents wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _POWERS[seed].get(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, table: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of ``values[starts:ends]``, equal for equal contents wherever they stand.
+
+    ``starts`` ascend. Values go through ``table`` where one is given. Spans are taken by segments of their starts; only a
+    span longer than a segment needs longer arrays, which are not kept.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        low = int(starts[first])
+        last = int(np.searchsorted(starts, low + SEGMENT))
+        own, stop = starts[first:last] - low, ends[first:last] - low
+        part = values[low:low + int(stop.max(initial=0))]
+        part = part if table is None else table[part]
+        up, down = _POWERS[seed].get(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[:-1], out=sums[1:])
+        out[first:last] = (sums[stop] - sums[own]) * down[own] + (stop - own).astype(np.uint64) * _GOLDEN
+        first = last
+    return mix(out) if len(out) else out
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    return span_hashes(_BYTES[seed][data], starts, ends, seed)
+    return span_hashes(data, starts, ends, seed, _BYTES[seed])
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -171,9 +189,15 @@ def per_block(fn: Callable[..., dict], schema: pa.Schema, text: str, limit: int
                 out = fn(batch.slice(first, last - first), data, offsets)
                 if out:
                     yield pa.RecordBatch.from_arrays([_as(out[f.name], f.type) for f in schema], schema=schema)
+            release()
     return run
 
 
+def release() -> None:
+    """Give freed Arrow memory back: a worker serves many tasks, and what it keeps adds up."""
+    pa.default_memory_pool().release_unused()
+
+
 def _as(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import Words, blocks, mix, per_block, row_key, shuffle_parts, sliding, span_hashes
+from reportloom.llm.common import Words, blocks, mix, per_block, release, row_key, shuffle_parts, sliding, span_hashes
 
 WINDOW, GRAM = 35, 16
 _SLICES = 64
@@ -135,6 +135,7 @@ def sketch(docs: DataFrame, text_col: str = "text", size: int = WINDOW, gram: in
                         for x in _sliced(r, *_counts(cells), per_slice)]
                 if rows:
                     yield _sketch_rows(rows, salt)
+            release()
 
     parts = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, _SKETCH_SQL)
     half = parts.repartition("slice", "salt").sortWithinPartitions("slice").mapInArrow(_merge(per_slice), _SKETCH_SQL)
@@ -225,10 +226,11 @@ def _send(bits, size: int, gram: int, depth: int, log2_cells: int, buckets: int)
                     part["doc"][own] = place
                     out.append((int(to[a]), keys[first:last][ids].tobytes(), part.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SENT.types)], schema=_SENT)
+            release()
     return run
 
 
-def _group(buckets: int, run_length: int = 2_000_000):
+def _group(buckets: int, run_length: int = 200_000):
     """Buckets of windows to packed places of windows seen from two or more places; rows sorted by bucket."""
     def exact(held):
         recs, keys, base = [], [], 0
@@ -366,6 +368,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for r in np.flatnonzero(cut):
                     texts[r] = plain[bounds[r]:bounds[r + 1]].tobytes().decode()
                 yield pa.RecordBatch.from_arrays([rows.column("_row"), pa.array(texts, pa.string())], ["_row", "_new"])
+            release()
 
     out = joined.mapInArrow(run, _row_schema(joined))
     return out.select(*(F.col("_new").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
