@@ -177,7 +177,6 @@ def test_merge_order_within_a_word():
 def test_packing(docs, pairs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = packing.pack_documents(docs, path, capacity=64).collect()
     want = []
     for i, t in pairs:
