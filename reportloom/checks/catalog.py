@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
 from reportloom.checks import (  # noqa: F401
-    answers, comparing, ingest, operations, retrieval, summaries)
+    answers, comparing, ingest, operations, retrieval, summaries, upkeep)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from reportloom.sources.buckets import Library
+
 
 def page_of(rows: DataFrame, group: str, order: list[Column], skip: int = 0, limit: int = 50) -> DataFrame:
     """One page of the rows of every group (an owner's documents, a document's pages).
@@ -99,6 +101,16 @@ def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str,
     return {name: df.join(gone, "doc_id", "left_anti") for name, df in tables.items()}
 
 
+def delete_stored(library: Library, ids: DataFrame, compact: bool = True) -> list[int]:
+    """Delete documents from every stored table of a library at once.
+
+    No reader sees them once the tombstones are written. With ``compact`` their rows leave
+    the files too, in the buckets concerned, which are returned.
+    """
+    library.delete(ids)
+    return library.compact() if compact else []
+
+
 def orphans(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     """Child rows whose parent is missing."""
     return child.join(parent.select(*keys).distinct(), keys, "left_anti")

@@ -81,32 +81,63 @@ def build_index(chunks: DataFrame, scopes: DataFrame, stop_words=V.ENGLISH_STOP_
     A hot scope's joins are split by the adaptive skewed join.
     """
     scoped = materialize(chunks.join(scopes.select("scope_id", "doc_id"), "doc_id"), "chunks")
-    counted = materialize(scoped.select(
+    counted = materialize(count_terms(scoped, stop_words), "counts")
+    raw = materialize(lexical_postings(counted).filter("tf > 0").groupBy("scope_id", "term").agg(
+        F.count("*").alias("df")), "frequencies")
+    terms = vector_postings(counted).groupBy("scope_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    sizes = materialize(counted.groupBy("scope_id").agg(F.count("*").alias("n"), F.sum("dl").alias("words")), "sizes")
+    index = index_of(scoped, counted, raw, terms if max_terms is None else most_frequent_terms(terms, max_terms), sizes)
+    discard(raw)
+    return index
+
+
+def count_terms(scoped: DataFrame, stop_words=V.ENGLISH_STOP_WORDS) -> DataFrame:
+    """``scope, chunk, dl, lex, vec``: length and term counts of every chunk, the only step that reads texts."""
+    return scoped.select(
         *CHUNK_KEY, F.size(tokens(F.col("text"))).alias("dl"), _lexical_terms().alias("lex"),
         F.transform(grouped_counts(tfidf_terms(F.col("text"), stop_words)), lambda c: F.struct(
-            c["item"].alias("term"), c["n"].alias("tf"))).alias("vec")), "counts")
-    lexical = counted.select(*CHUNK_KEY, F.explode("lex").alias("p")).select(*CHUNK_KEY, "p.term", "p.tf", "p.dl")
-    sizes = materialize(counted.groupBy("scope_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "sizes")
-    raw = lexical.filter("tf > 0").groupBy("scope_id", "term").agg(F.count("*").alias("df")).join(
-        sizes, "scope_id").withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = materialize(raw, "frequencies")
+            c["item"].alias("term"), c["n"].alias("tf"))).alias("vec"))
+
+
+def lexical_postings(counted: DataFrame) -> DataFrame:
+    return counted.select(*CHUNK_KEY, F.explode("lex").alias("p")).select(*CHUNK_KEY, "p.term", "p.tf", "p.dl")
+
+
+def vector_postings(counted: DataFrame) -> DataFrame:
+    return counted.select(*CHUNK_KEY, F.explode("vec").alias("p")).select(*CHUNK_KEY, "p.term", "p.tf")
+
+
+def lexical_weights(frequencies: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``scope, term, avgdl, idf`` from ``scope, term, df`` and ``scope, n, words``."""
+    raw = frequencies.join(sizes.withColumn("avgdl", F.col("words") / F.col("n")), "scope_id").withColumn(
+        "raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     means = raw.groupBy("scope_id").agg(F.avg("raw_idf").alias("mean_idf"))
-    lexical_terms = materialize(raw.join(means, "scope_id").select(
+    return raw.join(means, "scope_id").select(
         "scope_id", "term", "avgdl", F.when(F.col("raw_idf") < 0, F.col("mean_idf") * EPSILON)
-        .otherwise(F.col("raw_idf")).alias("idf")), "lexical_terms")
-
-    vector = counted.select(*CHUNK_KEY, F.explode("vec").alias("p")).select(*CHUNK_KEY, "p.term", "p.tf")
-    terms = vector.groupBy("scope_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    if max_terms is not None:
-        terms = most_frequent_terms(terms, max_terms)
-    vector_terms = materialize(terms.join(sizes.select("scope_id", "n"), "scope_id").select(
-        "scope_id", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "vector_terms")
-    norms = materialize(vector.join(vector_terms, ["scope_id", "term"]).groupBy(*CHUNK_KEY).agg(
-        F.sqrt(F.sum(F.pow((F.log("tf") + 1) * F.col("idf"), 2))).alias("norm")), "norms")
+        .otherwise(F.col("raw_idf")).alias("idf"))
+
+
+def vector_weights(frequencies: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``scope, term, idf`` of the vector terms."""
+    return frequencies.join(sizes.select("scope_id", "n"), "scope_id").select(
+        "scope_id", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def chunk_norms(counted: DataFrame, weights: DataFrame) -> DataFrame:
+    """``scope, chunk, norm``: length of every chunk's vector."""
+    return vector_postings(counted).join(weights, ["scope_id", "term"]).groupBy(*CHUNK_KEY).agg(
+        F.sqrt(F.sum(F.pow((F.log("tf") + 1) * F.col("idf"), 2))).alias("norm"))
+
+
+def index_of(scoped: DataFrame, counted: DataFrame, frequencies: DataFrame, vector_frequencies: DataFrame,
+             sizes: DataFrame) -> TermIndex:
+    """The search tables of stored term counts and statistics."""
+    lexical_terms = materialize(lexical_weights(frequencies, sizes), "lexical_terms")
+    vector_terms = materialize(vector_weights(vector_frequencies, sizes), "vector_terms")
+    norms = materialize(chunk_norms(counted, vector_terms), "norms")
     forward = materialize(counted.join(chunk_positions(scoped), ["scope_id", "doc_id"]).join(norms, CHUNK_KEY, "left").select(
         *CHUNK_KEY, (F.col("start") + F.col("chunk_index")).cast("long").alias("place"), "dl", "norm", "lex", "vec"), "forward")
-    discard(raw)
-    return TermIndex(scoped, lexical, lexical_terms, vector, vector_terms, norms, forward)
+    return TermIndex(scoped, lexical_postings(counted), lexical_terms, vector_postings(counted), vector_terms, norms, forward)
 
 
 def most_frequent_terms(terms: DataFrame, limit: int, slices: int = 32) -> DataFrame:

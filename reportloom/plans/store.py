@@ -38,14 +38,32 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def path_exists(spark: SparkSession, where: str) -> bool:
+    files, path = _hadoop(spark, where)
+    return files.exists(path)
+
+
+def folders(spark: SparkSession, where: str) -> list[str]:
+    """Names of the folders right below ``where``."""
+    files, path = _hadoop(spark, where)
+    return sorted(f.getPath().getName() for f in files.listStatus(path) if f.isDirectory())
+
+
+def delete_path(spark: SparkSession, where: str) -> None:
+    files, path = _hadoop(spark, where)
+    files.delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing will read again."""
     for table in tables:
-        spark = table.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete_path(table.sparkSession, folder)
 
 
 _STORED: dict[tuple, object] = {}
