@@ -186,6 +186,18 @@ def _(spark, sf_dir):
     return A.conversation_log(corpus.read_table(spark, sf_dir, "conversations"))
 
 
+@check("g11_list_conversations", """
+SELECT conv_id, owner_id, created_at, title FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, conv_id DESC) AS n FROM (
+  SELECT conv_id, conv_id % 7 AS owner_id, make_timestamp(CAST(1700000000 + conv_id * 7919 % 1000 AS BIGINT) * 1000000) AS created_at,
+    arg_min(text, turn) FILTER (role = 'user')[1:120] AS title FROM conversations GROUP BY conv_id)) WHERE n BETWEEN 2 AND 6""")
+def _(spark, sf_dir):
+    """An owner's conversations, newest first, with their titles; a page of five from the second on."""
+    conv = F.col("conv_id")
+    log = A.conversation_log(corpus.read_table(spark, sf_dir, "conversations")).withColumn("owner_id", conv % 7).withColumn(
+        "created_at", F.timestamp_seconds(conv * 7919 % 1000 + 1_700_000_000))
+    return O.list_conversations(log, 1, 5).select("conv_id", "owner_id", "created_at", "title")
+
+
 @check("g11_list_messages", """
 SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n BETWEEN 2 AND 3""")
 def _(spark, sf_dir):

@@ -28,7 +28,7 @@ def compared(spark, sf_dir):
 
 # --- SQL -------------------------------------------------------------------------------
 
-_FIRST = f"""{B.MEAS}, {B.PAIRS},
+FIRST_SQL = f"""{B.MEAS.replace(B.LAB + ',', '', 1).lstrip()},
 firsts AS (SELECT * EXCLUDE rn FROM (SELECT *, lower(name) AS key, row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY line_idx) AS rn FROM meas) WHERE rn = 1),
 fa AS (SELECT p.pair_id, f.* FROM pairs p JOIN firsts f ON f.doc_id = doc_a),
 fb AS (SELECT p.pair_id, f.* FROM pairs p JOIN firsts f ON f.doc_id = doc_b),
@@ -38,6 +38,8 @@ cmp AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.key, b.key)
   a.doc_id AS da, b.doc_id AS db
   FROM fa a FULL OUTER JOIN fb b ON a.pair_id = b.pair_id AND a.key = b.key)"""
 
+_FIRST = f"{B.LAB}, {B.PAIRS}, {FIRST_SQL}"
+
 _VALUE = "{r} || ' ' || {u} || ' (ref 5-40)' || coalesce(' [' || {f} || ']', '')"
 
 _ENT = f"""{B.REPORT}, {B.PAIRS}, ents AS ({ENTITY_SQL}),

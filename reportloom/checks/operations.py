@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Window as W, functions as F
 
 from reportloom.checks import base as B
 from reportloom.checks.answers import ANSWER_SQL, FINAL_SQL, answers
 from reportloom.checks.base import with_
-from reportloom.checks.comparing import _CROSS, _FIRST, compared, order_documents, pairs, text_measurements
+from reportloom.checks.comparing import _CROSS, _FIRST, FIRST_SQL, compared, order_documents, pairs, text_measurements
 from reportloom.checks.ingest import (
     ENTITY_SQL, reports, spaced_documents, stored_chunks, stored_entities, stored_measurements,
     stored_sections)
@@ -46,6 +47,13 @@ def _(spark, sf_dir):
     return O.list_measurements(stored_measurements(spark, sf_dir), 0, 2).select("doc_id", "name", "value_raw")
 
 
+@check("o2_list_tables", with_(B.LAB, """
+SELECT doc_id, 0 AS table_index, 'Test|Result|Units|Reference Range|Flag' AS header, count(*) AS n_rows FROM lab GROUP BY doc_id"""))
+def _(spark, sf_dir):
+    return O.list_tables(render.report_tables(spark, sf_dir)).select(
+        "doc_id", "table_index", F.array_join("header", "|").alias("header"), F.size("rows").cast("long").alias("n_rows"))
+
+
 @check("o3_list_entities", with_(B.REPORT, f"SELECT doc_id, raw_text FROM ({ENTITY_SQL}) WHERE entity_type = 'medication'"))
 def _(spark, sf_dir):
     return O.list_entities(stored_entities(spark, sf_dir), "medication").select("doc_id", "raw_text")
@@ -139,6 +147,29 @@ def _(spark, sf_dir):
     return O.check_provenance(known, pages, sections.filter("title <> 'Clinical Notes'"), stored_chunks(spark, sf_dir))
 
 
+@check("o9_citation_closure", with_(f"{B.CHUNKS}, {B.PAIRS}, e AS ({ENTITY_SQL}), {FIRST_SQL}", """
+SELECT 'entity-section' AS link, doc_id, count(*) AS rows FROM e JOIN orders ON o_orderkey = doc_id
+  WHERE section_idx = 7 OR section_idx = 4 AND o_orderstatus = 'P' GROUP BY doc_id
+UNION ALL SELECT 'measurement-section', doc_id, count(*) FROM lab JOIN orders ON o_orderkey = doc_id WHERE o_orderstatus = 'P' GROUP BY doc_id
+UNION ALL SELECT 'comparison-chunk', doc_id, count(*) FROM (SELECT da AS doc_id FROM cmp UNION ALL SELECT db FROM cmp) WHERE doc_id % 5 = 0 GROUP BY doc_id
+UNION ALL SELECT 'sentence-citation', NULL, count(*) FROM orders WHERE o_orderkey % 3 = 0 HAVING count(*) > 0"""))
+def _(spark, sf_dir):
+    """Notes sections, sections of reports in processing, and a fifth of the lab chunks are taken away first; answers cite
+    a second passage they do not have."""
+    sections, chunks = stored_sections(spark, sf_dir), stored_chunks(spark, sf_dir)
+    waiting = order_documents(spark, sf_dir).filter("status = 'processing'").select("doc_id")
+    known = sections.filter("title <> 'Clinical Notes'").join(waiting.withColumn("section_idx", F.lit(4)), ["doc_id", "section_idx"], "left_anti")
+    left = chunks.filter("not (doc_id % 5 = 0 and chunk_index = 3)")
+    orders = corpus.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"))
+    cites = orders.select("query_id", "doc_id", F.lit("[1]").alias("ref"), F.lit(0).alias("chunk_index"))
+    said = orders.select("query_id", F.when(F.col("query_id") % 3 == 0, "[2]").otherwise("[1]").alias("ref"))
+    found = O.check_provenance(
+        reports(spark, sf_dir).select("doc_id"), P.explode_pages(reports(spark, sf_dir), P.paginate_paragraphs(F.col("text"))),
+        known, left.withColumn("section_idx", F.lit(None).cast("int")), stored_entities(spark, sf_dir), stored_measurements(spark, sf_dir),
+        cites, said, A.comparison_citations(compared(spark, sf_dir), pairs(spark, sf_dir), chunks))
+    return found
+
+
 @check("o10_audit_rollup", """
 SELECT event_type AS action, user_id, count(*) AS events, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY ALL""")
 def _(spark, sf_dir):
@@ -248,7 +279,43 @@ def _(spark, sf_dir):
     out = scratch(spark, "ingest")
     docs = intake.stream_table(spark, sf_dir, "documents").select("doc_id", "text")
     intake.start_ingest(docs, out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/status").select("doc_id", "status")
+    return intake.read_intake(spark, out, "status").select("doc_id", "status")
+
+
+def arrivals(spark, rows, name, files_at_once=2, n_files=4):
+    """``rows`` as a stream of files, some at a time."""
+    path = scratch(spark, name)
+    rows.repartition(n_files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+
+
+@check("w1_stream_tables", with_(f"{B.CHUNKS}, e AS ({ENTITY_SQL})", """
+SELECT name, doc_id, count(*) AS n FROM (SELECT 'sections' AS name, doc_id FROM sec UNION ALL SELECT 'entities', doc_id FROM e
+  UNION ALL SELECT 'measurements', doc_id FROM lab UNION ALL SELECT 'chunks', doc_id FROM chk UNION ALL SELECT 'pages', doc_id FROM rep
+  UNION ALL SELECT 'status', doc_id FROM rep) GROUP BY name, doc_id"""))
+def _(spark, sf_dir):
+    """Rows of every report in every table after two batches, the second from a restarted stream."""
+    out, docs = scratch(spark, "intake"), arrivals(spark, reports(spark, sf_dir).select("doc_id", "text"), "inbox")
+    for _ in range(2):
+        intake.start_ingest(docs, out, f"{out}/checkpoint").awaitTermination()
+    counts = [intake.read_intake(spark, out, t).groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("name", F.lit(t))
+              for t in intake.INTAKE_TABLES]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@check("w2_stored_hashes", """
+WITH f AS (SELECT doc_id AS file_id, source AS owner_id, sha256(text) AS sha256,
+  first_value(doc_id) OVER (PARTITION BY source, sha256(text) ORDER BY doc_id % 2, doc_id) AS first_id FROM documents)
+SELECT file_id, owner_id, sha256, CASE WHEN first_id <> file_id THEN first_id END AS existing_id FROM f""")
+def _(spark, sf_dir):
+    """Uploads of two streams, one after the other: the second finds what the first has stored."""
+    out = scratch(spark, "uploads")
+    files_ = corpus.read_corpus(spark, sf_dir).select(
+        F.col("doc_id").alias("file_id"), F.col("source").alias("owner_id"), files.content_hash(F.col("text")).alias("sha256"))
+    for half in (0, 1):
+        stream = arrivals(spark, files_.filter(F.col("file_id") % 2 == half), f"uploads-{half}", 1, 1)
+        intake.start_uploads(stream, out, f"{out}/checkpoint-{half}").awaitTermination()
+    return intake.read_intake(spark, out, "uploads")
 
 
 @check("w2_stream_dedup", "SELECT DISTINCT source AS owner_id, sha256(text) AS sha256 FROM documents")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from reportloom.plans.store import materialize
 from reportloom.sources.buckets import Library
 
 
@@ -35,6 +38,16 @@ def list_measurements(measurements: DataFrame, skip: int = 0, limit: int = 50) -
     return page_of(measurements, "doc_id", [F.col("section_idx"), F.col("line_idx")], skip, limit)
 
 
+def list_tables(tables: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
+    """Tables of every document, in the order in which they stand there."""
+    return page_of(tables, "doc_id", [F.col("table_index")], skip, limit)
+
+
+def list_conversations(conversations: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
+    """Newest conversations of every owner: ``conv_id, owner_id, created_at``, more."""
+    return page_of(conversations, "owner_id", [F.desc("created_at"), F.desc("conv_id")], skip, limit)
+
+
 def list_messages(messages: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
     """Messages of every conversation, oldest first."""
     return page_of(messages, "conv_id", [F.col("turn")], skip, limit)
@@ -88,11 +101,49 @@ def newest_runs(runs: DataFrame, kind: str | None = None, limit: int = 50) -> Da
     return wanted.orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
 
 
+_LARGEST = 1.7976931348623157e308
+
+
+def group_medians(rows: DataFrame, group: str, value: str, cells: int = 4096) -> DataFrame:
+    """``group, median``: the exact median (mean of the middle two) of every group.
+
+    A pass counts the values between a least and a greatest one in ``cells`` equal cells; the
+    counts say in which cell, and at which place in it, a middle value lies, and the next pass
+    looks at that cell alone, until it holds one value. A pass has one row for a group and cell as its state, summed
+    up map-side, however many values there are; 52 bits of a double are 12 bits a pass. Nulls and
+    not-a-numbers are left out; infinite values count as the largest double.
+    """
+    known = rows.select(F.col(group).alias("g"), F.greatest(F.lit(-_LARGEST), F.least(
+        F.lit(_LARGEST), F.col(value).cast("double"))).alias("v")).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    sizes = known.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # the two middle ranks, counted from 1; equal for an odd number
+    ranks = F.array_distinct(F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")))
+    asked = sizes.select("g", "lo", "hi", F.explode(ranks).alias("rank")).withColumn("left", F.col("rank"))
+    while True:
+        asked = materialize(asked, "median-ranks")
+        if asked.filter("lo < hi").isEmpty():
+            return asked.groupBy(F.col("g").alias(group)).agg(F.avg("lo").alias("median"))
+        ranges = asked.select(F.col("g").alias("h"), "lo", "hi").distinct()
+        inside = known.join(ranges, F.col("g").eqNullSafe(F.col("h"))).filter("v between lo and hi")
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        cell = F.when(F.col("lo") < F.col("hi"), F.least(F.lit(cells - 1), F.floor(share * cells))).otherwise(F.lit(0))
+        counts = inside.groupBy("h", "lo", "hi", cell.alias("cell")).agg(
+            F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        placed = counts.withColumn("upto", F.sum("n").over(W.partitionBy("h", "lo", "hi").orderBy("cell"))).withColumnsRenamed(
+            {"lo": "low", "hi": "high"})
+        before = F.col("upto") - F.col("n")
+        asked = asked.join(placed, F.col("g").eqNullSafe(F.col("h")) & (F.col("lo") == F.col("low")) & (F.col("hi") == F.col("high"))).filter(
+            (F.col("left") <= F.col("upto")) & (F.col("left") > before)).select(
+            "g", F.col("a").alias("lo"), F.col("b").alias("hi"), "rank", (F.col("left") - before).alias("left"))
+
+
 def run_rollup(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("kind").agg(
+    """Runs, failures, mean and exact median of the duration of every kind."""
+    counted = runs.groupBy("kind").agg(
         F.count("*").alias("runs"), F.count_if(~F.col("success")).alias("failures"),
-        F.round(F.avg("duration_ms"), 4).alias("mean_ms"),
-        F.percentile("duration_ms", 0.5).alias("median_ms"))
+        F.round(F.avg("duration_ms"), 4).alias("mean_ms"))
+    medians = group_medians(runs, "kind", "duration_ms").select(F.col("kind").alias("_kind"), F.col("median").alias("median_ms"))
+    return counted.join(medians, F.col("kind").eqNullSafe(F.col("_kind")), "left").drop("_kind")
 
 
 def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
@@ -116,15 +167,30 @@ def orphans(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     return child.join(parent.select(*keys).distinct(), keys, "left_anti")
 
 
-def check_provenance(documents: DataFrame, pages: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Broken links per step of the chain document, page, section, chunk."""
+def check_provenance(documents: DataFrame, pages: DataFrame, sections: DataFrame, chunks: DataFrame,
+                     entities: DataFrame | None = None, measurements: DataFrame | None = None,
+                     citations: DataFrame | None = None, sentences: DataFrame | None = None,
+                     comparisons: DataFrame | None = None) -> DataFrame:
+    """Broken links per step of the chain, and how many rows of a document have one.
+
+    Document, page, section and chunk; where given, also sections of ``entities`` and ``measurements``
+    (``doc_id, section_idx``; without a section: none is asked for), chunks that ``citations`` of answers
+    (``query_id, ref, doc_id, chunk_index``) and ``comparisons`` (``doc_id, chunk_index``) name, and citations that
+    ``sentences`` of answers (``query_id, ref``) refer to; the latter have no document, so their ``doc_id`` is null.
+    Parents are reduced to their keys, so a link costs one join of keys.
+    """
     def step(name, child, parent, keys):
-        return orphans(child, parent, keys).groupBy("doc_id").agg(F.count("*").alias("rows")).select(
+        known = child.filter(" and ".join(f"{k} is not null" for k in keys))
+        own = F.col("doc_id") if "doc_id" in child.columns else F.lit(None).cast("long")
+        return orphans(known, parent, keys).groupBy(own.alias("doc_id")).agg(F.count("*").alias("rows")).select(
             F.lit(name).alias("link"), "doc_id", "rows")
-    in_section = chunks.filter("section_idx is not null")
-    return (step("page-document", pages, documents, ["doc_id"])
-            .unionAll(step("section-page", sections, pages, ["doc_id", "page_number"]))
-            .unionAll(step("chunk-section", in_section, sections, ["doc_id", "section_idx"])))
+    in_section, in_chunk = ["doc_id", "section_idx"], ["doc_id", "chunk_index"]
+    links = [("page-document", pages, documents, ["doc_id"]), ("section-page", sections, pages, ["doc_id", "page_number"]),
+             ("chunk-section", chunks, sections, in_section), ("entity-section", entities, sections, in_section),
+             ("measurement-section", measurements, sections, in_section), ("citation-chunk", citations, chunks, in_chunk),
+             ("comparison-chunk", comparisons, chunks, in_chunk), ("sentence-citation", sentences, citations, ["query_id", "ref"])]
+    found = [step(*link) for link in links if link[1] is not None and link[2] is not None]
+    return reduce(DataFrame.unionAll, found)
 
 
 def audit_rollup(events: DataFrame) -> DataFrame:
