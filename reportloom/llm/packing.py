@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.llm.common import shuffle_parts
-from reportloom.plans.store import discard, materialize
+from reportloom.plans.store import materialize
 
 CAPACITY = 2048
 
@@ -61,9 +61,10 @@ class _WordEncoder:
         self.most = most
 
     @classmethod
-    def get(cls, path: str) -> "_WordEncoder":
+    def get(cls, path: str, most: int) -> "_WordEncoder":
         if path not in _ENCODERS:
             _ENCODERS[path] = cls(path)
+        _ENCODERS[path].most = most
         return _ENCODERS[path]
 
     def learn(self, pieces: set[bytes]) -> None:
@@ -125,12 +126,16 @@ class _WordEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id",
-           text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``(id, piece, start, length, ids_crc32)``; with ``with_ids`` also ``ids``, the packed token ids."""
+           text_col: str = "text", with_ids: bool = False, most_words: int = 500_000, forget: bool = False) -> DataFrame:
+    """``(id, piece, start, length, ids_crc32)``; with ``with_ids`` also ``ids``, the packed token ids.
+
+    A worker remembers the ids of ``most_words`` words, and keeps them for its next task unless told
+    to ``forget`` them, which frees memory for other stages at the price of encoding words again.
+    """
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = _WordEncoder.get(tokenizer)
+        encoder = _WordEncoder.get(tokenizer, most_words)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -144,6 +149,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows))[:5 + with_ids], kinds)],
                                                  names)
+        if forget:
+            encoder.known.clear()
+            _ENCODERS.pop(tokenizer, None)
 
     schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
@@ -245,7 +253,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY,
-                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, **memory) -> DataFrame:
     """Pieces of all documents with their places; the id column keeps its name."""
-    items = materialize(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids), "pieces")
+    items = materialize(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, **memory), "pieces")
     return pack(items, capacity).withColumnRenamed("id", id_col)
