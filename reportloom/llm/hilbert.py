@@ -1,7 +1,8 @@
 """Shards along a Hilbert curve through several metadata dimensions.
 
-1. Every dimension becomes a number that keeps its order (strings by their first bytes)
-   and is quantised by quantiles over all rows into ``2**bits`` cells.
+1. Every dimension is quantised by quantiles over all rows into ``2**bits`` cells. Strings are
+   compared whole, byte by byte, with cut strings; these are found among the counts of
+   distinct values in order, which are summed up in blocks.
 2. Cells become an index on the Hilbert curve: rows near on the curve are near in every
    dimension, so a file of neighbours has narrow ranges in all of them.
 3. Rows are sorted by index over range partitions (ties: text checksum, id, place in the
@@ -12,7 +13,7 @@ Only metadata, size and checksum are sorted; texts move once, in ``write_shards`
 
 Law of ``assign``: ``rows``, counts at most one apart.
 
-Cases: a null dimension is in the lowest cell; null texts have size 1 and
+Cases: a dimension that ``docs`` lacks is a ValueError. A null dimension is in the lowest cell; null texts have size 1 and
 checksum 0, as have empty ones. Ties and repeated rows are separate rows with a slot of
 their own. Fewer rows than shards leave shards empty; an empty table gives no rows.
 Extra columns are not read by ``assign``.
@@ -22,25 +23,48 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from reportloom.llm.common import shuffle_parts
+from reportloom.llm.ranking import numbered
 from reportloom.plans.store import discard, materialize
 
 
 def _number(df: DataFrame, name: str) -> Column:
-    """An order-keeping number; strings by their first six bytes."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, NumericType):
+    """An order-keeping number."""
+    if isinstance(df.schema[name].dataType, NumericType):
         value = F.col(name).cast("double")
         return F.when(F.isnan(value), F.lit(None)).otherwise(value)
     return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
 
 
+def string_cuts(df: DataFrame, name: str, cells: int, block: int = 4096) -> list[str]:
+    """At most ``cells - 1`` strings that cut the rows into runs of about equal counts, in order.
+
+    A cut is the last string of its run, so rows above it are beyond. Blocks of ``block`` distinct values
+    are summed up first; only those in which a run ends are looked into.
+    """
+    counts = materialize(df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(
+        F.count("*").alias("n")), "string-counts")
+    placed = materialize(numbered(counts, [], [F.col("v")], "string-order").withColumn("block", F.expr(f"place div {block}")), "string-places")
+    total = placed.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+
+    def ends(before: Column, own: Column) -> Column:
+        return F.floor(before * cells / F.lit(total)) < F.floor((before + own) * cells / F.lit(total))
+    sums = placed.groupBy("block").agg(F.sum("n").alias("own")).withColumn("before", F.sum("own").over(
+        Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    wide = sums.withColumn("before", F.coalesce("before", F.lit(0))).filter(ends(F.col("before"), F.col("own"))).select("block", "before")
+    inside = Window.partitionBy("block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.join(wide, "block").withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    cuts = [r.v for r in near.filter(ends(F.col("before"), F.col("n"))).orderBy("place").select("v").collect()]
+    discard(counts, placed)
+    return cuts[:cells - 1]
+
+
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Index on the curve of points given as (points, dimensions) cells of ``bits`` bits each.
 
@@ -74,11 +98,16 @@ def with_index(df: DataFrame, dims: list[str], bits: int = 5, accuracy: int = 10
     if len(dims) * bits > 62:
         raise ValueError("an index has 62 bits at most")
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    numbers = [_number(df, d) for d in dims]
-    cuts = df.agg(*(F.percentile_approx(v, shares, accuracy).alias(f"c{i}") for i, v in enumerate(numbers))).first()
+    texts = {d for d in dims if isinstance(df.schema[d].dataType, StringType)}
+    values = {d: F.col(d) if d in texts else _number(df, d) for d in dims}
+    found = {d: string_cuts(df, d, 1 << bits) for d in dims if d in texts}
+    if len(texts) < len(dims):
+        numbers = [d for d in dims if d not in texts]
+        row = df.agg(*(F.percentile_approx(values[d], shares, accuracy).alias(f"c{i}") for i, d in enumerate(numbers))).first()
+        found |= {d: row[i] or [] for i, d in enumerate(numbers)}
     cells = []
-    for i, value in enumerate(numbers):
-        edges = sorted(set(cuts[i] or []))
+    for d in dims:
+        value, edges = values[d], sorted(set(found[d]), key=lambda e: e.encode() if isinstance(e, str) else e)
         below = F.lit(0)
         for e in edges:
             below = below + (value > F.lit(e)).cast("int")
@@ -94,6 +123,8 @@ def with_index(df: DataFrame, dims: list[str], bits: int = 5, accuracy: int = 10
 def assign(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source", "n_chars"), shards: int = 8,
            id_col: str = "doc_id", text_col: str = "text", bits: int = 5) -> DataFrame:
     """Per row: id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``, ``curve``."""
+    if missing := [d for d in dims if d not in docs.columns]:
+        raise ValueError(f"no column {', '.join(missing)} to order by")
     body = F.coalesce(F.col(text_col), F.lit(""))
     named = [F.col(d).alias(f"_d{i}") for i, d in enumerate(dims)]
     keys = materialize(docs.select(
