@@ -242,13 +242,47 @@ def _guard(top: DataFrame, min_vector: float) -> DataFrame:
         F.round("lex", 4).alias("lexical_score"), "fused_rank", F.round("fused", 6).alias("fused_score"))
 
 
+def _questions(index: TermIndex, asked: DataFrame) -> DataFrame:
+    """One row a question: ``query_id, scope_id`` and its terms as maps, ``qvec`` (term to weight) and ``qlex``
+    (term to weight, its idf times its count), with ``n_long`` and ``avgdl``."""
+    vec = cosine_terms(index, asked).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "qw"))).alias("qvec"))
+    weight = (F.coalesce("idf", F.lit(0.0)) * F.col("qtf")).alias("w")
+    lex = lexical_query_terms(index, asked).groupBy("query_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("term"), weight))).alias("qlex"),
+        F.max("n_long").alias("n_long"), F.max("avgdl").alias("avgdl"))
+    return asked.select("query_id", "scope_id").join(vec, "query_id", "left").join(lex, "query_id", "left")
+
+
+def _row_scores() -> tuple[Column, Column]:
+    """Both legs of a row of the forward index joined with a question."""
+    def total(terms, of):
+        return F.coalesce(F.aggregate(terms, F.lit(0.0), lambda acc, p: acc + of(p)), F.lit(0.0))
+
+    def weight(terms, p):
+        return F.coalesce(F.try_element_at(terms, p["term"]), F.lit(0.0))
+    dot = total(F.filter("vec", lambda p: F.map_contains_key(F.col("qvec"), p["term"])),
+                lambda p: weight(F.col("qvec"), p) * (F.log(p["tf"]) + 1))
+    hits = F.filter("lex", lambda p: F.map_contains_key(F.col("qlex"), p["term"]))
+    length = K1 * (1 - B + B * F.col("dl") / F.coalesce("avgdl", F.lit(1.0)))
+    bm25 = total(hits, lambda p: F.when(p["tf"] > 0, weight(F.col("qlex"), p) * p["tf"] * (K1 + 1) / (p["tf"] + length)).otherwise(
+        F.lit(0.0)))
+    covered = F.coalesce(F.size(F.filter(hits, lambda p: F.length(p["term"]) > 2)), F.lit(0))
+    lex = bm25 + COVERAGE * covered / F.greatest(F.coalesce("n_long", F.lit(0)), F.lit(1))
+    cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot / F.col("norm"), F.lit(0.0))))
+    return F.round(cosine, SCORE_DIGITS), F.round(lex, SCORE_DIGITS)
+
+
 def search_scopes(index: TermIndex, queries: DataFrame, top_k: int = 6,
                   min_vector: float = MIN_VECTOR) -> DataFrame:
-    """Hybrid search where a scope is a handful of documents; every chunk is ranked."""
-    pairs = expanded(queries).select("query_id", "scope_id").join(
-        index.chunks.select(*CHUNK_KEY), "scope_id")
-    scored = pairs.join(score_chunks(index, queries), ["query_id", *CHUNK_KEY], "left").fillna(
-        0.0, ["vec", "lex"])
+    """Hybrid search where a scope is a handful of documents; every chunk is ranked.
+
+    A question meets the rows of its scope in the forward index once; both scores are computed
+    on that row, from the question's terms as maps, so no posting is moved.
+    """
+    asked = _questions(index, expanded(queries))
+    vec, lex = _row_scores()
+    rows = index.forward.select(*CHUNK_KEY, "dl", "norm", "lex", "vec").join(asked, "scope_id")
+    scored = rows.select("query_id", *CHUNK_KEY, vec.alias("vec"), lex.alias("lex"))
     return _guard(rrf_fuse(scored, top_k), min_vector)
 
 
