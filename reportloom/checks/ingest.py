@@ -525,7 +525,41 @@ def _(spark, sf_dir):
     return ingest.chunks_of(reports(spark, sf_dir), render.report_tables(spark, sf_dir))
 
 
-@check("c5_chunk_corpus")
+_RAW_CLEANED = B.cleaned_sql(B.hot_sql(B.PAGED.replace(B.SPACED, "spaced AS (SELECT doc_id, text FROM documents)", 1)))
+_PAGE_LINES = f"""cl AS (SELECT doc_id, page_number, unnest(string_split(text, {NL})) AS line, generate_subscripts(string_split(text, {NL}), 1) AS pln FROM cleaned),
+dl AS (SELECT doc_id, page_number, {trim('line')} AS s, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, pln) AS ln FROM cl),
+rules AS ("""
+_GAP = "'([.!?])[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]+', '\\1' || chr(1), 'g'"
+# pages, cleaned lines, sections over pages, blocks, sentences, packing, merging
+_CORPUS_CHUNKS = f"""{_RAW_CLEANED},
+{_PAGE_LINES}{_DOC_SECTIONS.split('rules AS (', 1)[1].replace(
+    "max(kind0) FILTER (is_heading) AS kind,", "max(kind0) FILTER (is_heading) AS kind, arg_min(page_number, ln) AS page_number,", 1)},
+blk AS (SELECT doc_id, section_idx, title, page_number, unnest(string_split(text, {NL} || {NL})) AS b,
+  generate_subscripts(string_split(text, {NL} || {NL}), 1) AS k FROM dsec),
+sen AS MATERIALIZED (SELECT doc_id, section_idx, title, page_number, k, s, row_number() OVER (PARTITION BY doc_id, section_idx, k ORDER BY i) AS i FROM (
+  SELECT *, {trim('x')} AS s FROM (SELECT doc_id, section_idx, title, page_number, k, unnest(string_split(regexp_replace(b, {_GAP}), chr(1))) AS x,
+    generate_subscripts(string_split(regexp_replace(b, {_GAP}), chr(1)), 1) AS i FROM blk)) WHERE s <> ''),
+cpack AS (
+  SELECT doc_id, section_idx, k, i, len(s) + 1 AS size, 1 AS c FROM sen WHERE i = 1
+  UNION ALL SELECT d.doc_id, d.section_idx, d.k, d.i,
+    CASE WHEN p.size >= 900 OR p.size + len(d.s) > 1400 THEN len(d.s) + 1 ELSE p.size + len(d.s) + 1 END,
+    p.c + CASE WHEN p.size >= 900 OR p.size + len(d.s) > 1400 THEN 1 ELSE 0 END
+  FROM cpack p JOIN sen d ON d.doc_id = p.doc_id AND d.section_idx = p.section_idx AND d.k = p.k AND d.i = p.i + 1),
+piece AS MATERIALIZED (SELECT doc_id, section_idx, title, page_number, t, row_number() OVER (PARTITION BY doc_id ORDER BY section_idx, k, c) AS i FROM (
+  SELECT doc_id, section_idx, any_value(title) AS title, any_value(page_number) AS page_number, k, c, string_agg(s, ' ' ORDER BY i) AS t
+  FROM cpack JOIN sen USING (doc_id, section_idx, k, i) GROUP BY doc_id, section_idx, k, c)),
+cmerge AS (
+  SELECT doc_id, i, len(t) AS size, section_idx, page_number, 0 AS chunk_index FROM piece WHERE i = 1
+  UNION ALL SELECT n.doc_id, n.i, CASE WHEN j THEN size + 1 + len(t) ELSE len(t) END, n.section_idx, n.page_number, chunk_index + CASE WHEN j THEN 0 ELSE 1 END
+  FROM (SELECT p.*, m.size, m.chunk_index, len(p.t) < 80 AND p.section_idx = m.section_idx AND p.page_number = m.page_number AND m.size + len(p.t) <= 1400 AS j
+    FROM cmerge m JOIN piece p ON p.doc_id = m.doc_id AND p.i = m.i + 1) n)"""
+
+
+@check("c5_chunk_corpus", with_(_CORPUS_CHUNKS, """
+SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, section_idx, section_title, page_number, text, CAST(len(text) AS INT) AS char_count,
+  CAST(greatest(1, len(text) // 4) AS INT) AS token_estimate, false AS is_table_chunk
+FROM (SELECT doc_id, chunk_index, min(p.section_idx) AS section_idx, min(title) AS section_title, min(p.page_number) AS page_number,
+  string_agg(t, ' ' ORDER BY i) AS text FROM cmerge JOIN piece p USING (doc_id, i) GROUP BY doc_id, chunk_index)""", True))
 def _(spark, sf_dir):
     """Chunks of the whole text corpus through pages, cleaning and sections."""
     return ingest.chunks_of(corpus.read_corpus(spark, sf_dir))
