@@ -9,7 +9,7 @@ from reportloom.checks.base import with_
 from reportloom.checks.ingest import DOC_PACKED, stored_chunks
 from reportloom.checks.registry import check
 from reportloom.functions import text as T, vocab as V
-from reportloom.operators import chunk as C, retrieve as R
+from reportloom.operators import chunk as C, nearest, retrieve as R
 from reportloom.plans.store import stored
 from reportloom.sources import corpus, render
 
@@ -259,12 +259,35 @@ SELECT query_id, vec_id, score, CAST(r AS INT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10""")
 def _(spark, sf_dir):
     """Vectors nearest to the mean vector of each label."""
+    return R.dense_topk(*label_means(spark, sf_dir)).select("query_id", "vec_id", "score", "rank")
+
+
+def label_means(spark, sf_dir):
     vectors = corpus.read_table(spark, sf_dir, "embeddings")
     means = (vectors.select("label", F.posexplode("embedding").alias("i", "x"))
              .groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
              .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))),
                                                lambda p: p["m"]).alias("q")))
     scope = F.lit(0).alias("scope_id")
-    return R.dense_topk(means.select(F.col("label").alias("query_id"), scope, "q"),
-                        vectors.select(scope, "vec_id", "embedding")).select(
-        "query_id", "vec_id", "score", "rank")
+    return means.select(F.col("label").alias("query_id"), scope, "q"), vectors.select(scope, "vec_id", "embedding")
+
+
+def every_fiftieth(spark, sf_dir):
+    """Every fiftieth vector as a question, against all vectors."""
+    vectors = corpus.read_table(spark, sf_dir, "embeddings").select(F.lit(0).alias("scope_id"), "vec_id", "embedding")
+    return vectors.filter("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("query_id"), "scope_id", F.transform("embedding", lambda x: x.cast("double")).alias("q")), vectors
+
+
+@check("r10_bucketed_topk")
+def _(spark, sf_dir):
+    """Vectors nearest to every fiftieth one, by buckets of random projections."""
+    return nearest.bucketed_topk(*every_fiftieth(spark, sf_dir)).select("query_id", "vec_id", "score", "rank")
+
+
+@check("r10_bucketed_recall", "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def _(spark, sf_dir):
+    """Whether the bucketed search finds nine tenths of the exact answers."""
+    asked, vectors = every_fiftieth(spark, sf_dir)
+    found = nearest.recall(nearest.bucketed_topk(asked, vectors), R.dense_topk(asked, vectors))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("reached"))

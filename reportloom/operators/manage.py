@@ -113,8 +113,9 @@ def group_medians(rows: DataFrame, group: str, value: str, cells: int = 4096) ->
     up map-side, however many values there are; 52 bits of a double are 12 bits a pass. Nulls and
     not-a-numbers are left out; infinite values count as the largest double.
     """
-    known = rows.select(F.col(group).alias("g"), F.greatest(F.lit(-_LARGEST), F.least(
-        F.lit(_LARGEST), F.col(value).cast("double"))).alias("v")).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    number = F.col(value).cast("double")
+    known = rows.filter(number.isNotNull() & ~F.isnan(number)).select(
+        F.col(group).alias("g"), F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), number)).alias("v"))
     sizes = known.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     # the two middle ranks, counted from 1; equal for an odd number
     ranks = F.array_distinct(F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")))

@@ -529,7 +529,7 @@ def stale_scopes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 # --- dense vectors -----------------------------------------------------------------------
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, slices: int = 16) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, slices: int | None = None) -> DataFrame:
     """Exact cosine top-k of ``query_id, scope_id, q`` against ``scope_id, vec_id, embedding``.
 
     Vectors of a scope are split into slices, questions repeated per slice, so a big
