@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reportloom.checks import base as B
 from reportloom.checks.base import with_
 from reportloom.checks.ingest import (
-    ENTITY_SQL, reports, stored_chunks, stored_entities, stored_measurements)
+    ENTITY_SQL, reports, stored_chunks, stored_entities, stored_measurements, stored_sections)
 from reportloom.checks.registry import check
 from reportloom.functions import normalize as N, text as T, vocab as V
 from reportloom.operators import compare as A, extract as X
@@ -117,6 +117,27 @@ def _(spark, sf_dir):
     return A.comparison_citations(compared(spark, sf_dir), pairs(spark, sf_dir), stored_chunks(spark, sf_dir))
 
 
+_TERM_SQL = _ENT.replace(B.LAB + ",", "", 1).replace(B.PAIRS + ",", "", 1).lstrip()
+
+
+@check("a6_all_citations", with_(f"{_FIRST}, {_TERM_SQL}, {B.SECTIONS.replace(B.REPORT + ',', '', 1).lstrip()}, {B.CHUNKS.replace(B.SECTIONS + ',', '', 1).lstrip()}", f"""
+SELECT pair_id, '[C' || row_number() OVER (PARTITION BY pair_id ORDER BY grp, sub, key, side) || ']' AS ref, r.doc_id,
+  clinic || ' - Outpatient Letter' AS document_title, chunk_index, 1 AS page_number, quote
+FROM (SELECT pair_id, 0 AS grp, CASE change_type WHEN 'removed' THEN 1 WHEN 'added' THEN 2 ELSE 0 END AS sub, key, 0 AS side, da AS doc_id, 4 AS section_idx,
+    {_VALUE.format(r='ra', u='ua', f='fla')} AS quote FROM cmp WHERE da IS NOT NULL
+  UNION ALL SELECT pair_id, 0, CASE change_type WHEN 'removed' THEN 1 WHEN 'added' THEN 2 ELSE 0 END, key, 1, db, 4,
+    {_VALUE.format(r='rb', u='ub', f='flb')} FROM cmp WHERE db IS NOT NULL
+  UNION ALL SELECT pair_id, CASE entity_type WHEN 'medication' THEN 1 WHEN 'organization' THEN 2 ELSE 3 END, CASE change_type WHEN 'removed' THEN 1 ELSE 2 END,
+    item, 0, CASE change_type WHEN 'removed' THEN doc_a ELSE doc_b END, CASE entity_type WHEN 'medication' THEN 5 WHEN 'organization' THEN 0 ELSE 1 END, item
+  FROM terms JOIN pairs USING (pair_id)) r
+JOIN chk USING (doc_id, section_idx) JOIN (SELECT doc_id AS d, clinic FROM rep) ON d = r.doc_id"""))
+def _(spark, sf_dir):
+    """Citations of measurements and terms, with the titles of the reports."""
+    titles = reports(spark, sf_dir).select("doc_id", F.split("text", "\n")[0].alias("title"))
+    return A.cite_comparison(compared(spark, sf_dir), stored_entities(spark, sf_dir), pairs(spark, sf_dir),
+                             stored_sections(spark, sf_dir), stored_chunks(spark, sf_dir), titles)
+
+
 _SUMMARY = f"""{_FIRST}, {_ENT.replace(B.LAB + ',', '', 1).replace(B.PAIRS + ',', '', 1).lstrip()},
 tally AS (SELECT pair_id, count(*) FILTER (m) AS compared, count(*) FILTER (change_type = 'changed') AS changed,
     count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'removed') AS removed,

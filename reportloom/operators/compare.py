@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from reportloom.functions import vocab as V
 from reportloom.functions.normalize import format_measurement, same_value
-from reportloom.functions.text import name_key, strip, title_case
+from reportloom.functions.text import WS, name_key, strip, title_case
 
 FIELDS = ("name", "value_raw", "value_num", "unit", "reference_range", "flag", "page_number",
           "section_idx", "source_snippet")
@@ -95,21 +95,27 @@ def note_missing(rows: DataFrame, pairs: DataFrame, documents: DataFrame) -> Dat
             "title_b", F.lit("."))).otherwise(F.col("change_note"))).drop("title_a", "title_b")
 
 
-def compare_entities(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Terms of one document of a pair that the other lacks."""
+def _term_rows(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """``pair_id, entity_type, item, sides``, and ``first``: document, section, text and page of its first mention."""
+    section = F.col("section_idx") if "section_idx" in entities.columns else F.lit(0)
     shown = (entities.filter(F.col("entity_type").isin(*COMPARED_TYPES))
              .withColumn("item", strip(F.coalesce(F.nullif("normalized_text", F.lit("")), "raw_text")))
-             .groupBy("doc_id", "entity_type", "item").agg(F.min("page_number").alias("page_number")))
+             .groupBy("doc_id", "entity_type", "item").agg(F.min(F.struct(
+                 section.alias("section_idx"), "page_number", "raw_text")).alias("m")))
     sides = pairs.select("pair_id", F.explode(F.array(
         F.struct(F.col("doc_a").alias("doc_id"), F.lit(1).alias("side")),
         F.struct(F.col("doc_b").alias("doc_id"), F.lit(2).alias("side")))).alias("s")).select(
         "pair_id", "s.doc_id", "s.side")
     # a term of both sides sums to 3; one shuffle instead of two anti-joins
-    found = sides.join(shown, "doc_id").groupBy("pair_id", "entity_type", "item").agg(
-        F.sum("side").alias("sides"), F.min("page_number").alias("page_number")).filter("sides < 3")
-    return found.select(
+    return sides.join(shown, "doc_id").groupBy("pair_id", "entity_type", "item").agg(
+        F.sum("side").alias("sides"), F.min_by(F.struct("doc_id", "m.*"), "side").alias("first")).filter("sides < 3")
+
+
+def compare_entities(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """Terms of one document of a pair that the other lacks."""
+    return _term_rows(pairs, entities).select(
         "pair_id", F.concat(F.initcap("entity_type"), F.lit("s")).alias("category"), "item",
-        F.when(F.col("sides") == 1, "removed").otherwise("added").alias("change_type"), "page_number")
+        F.when(F.col("sides") == 1, "removed").otherwise("added").alias("change_type"), F.col("first.page_number").alias("page_number"))
 
 
 def resolve_chunks(rows: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -138,6 +144,58 @@ def comparison_citations(compared: DataFrame, pairs: DataFrame, chunks: DataFram
         "doc_id", "chunk_index", "page_number", "quote")
 
 
+def _solid(text):
+    """Characters of a text that are not white space; packing into chunks moves none of them."""
+    return F.length(F.regexp_replace(text, WS, ""))
+
+
+def place_in_chunks(rows: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``rows`` with ``chunk_index``, the chunk of their section that holds the beginning of ``needle``.
+
+    ``rows`` have ``doc_id, section_idx, needle``, a text of the section. Chunks divide the section's
+    characters, white space aside, into ranges; places and range starts are swept in order once, and a
+    place belongs to the last range that began. Rows whose text does not occur, or whose section has no
+    chunk, are left out.
+    """
+    key = ["doc_id", "section_idx"]
+    before = W.partitionBy(*key).orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
+    starts = chunks.filter("section_idx is not null").select(*key, "chunk_index", _solid(F.col("text")).alias("n")).select(
+        *key, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("at"), F.col("chunk_index").alias("begun"),
+        F.lit(None).cast(rows.withColumn("_row", F.struct(*rows.columns)).schema["_row"].dataType).alias("row"))
+    place = F.position(F.col("needle"), F.col("text"))
+    found = rows.withColumn("row", F.struct(*rows.columns)).join(sections.select(*key, "text"), key).filter(place > 0).select(
+        *key, _solid(F.substr(F.col("text"), F.lit(1), place - 1)).cast("long").alias("at"), F.lit(None).cast("int").alias("begun"), "row")
+    # a range that begins at a place comes before it
+    sweep = W.partitionBy(*key).orderBy("at", F.col("row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    swept = starts.unionByName(found).withColumn("chunk_index", F.last("begun", True).over(sweep))
+    return swept.filter("row is not null and chunk_index is not null").select("row.*", "chunk_index")
+
+
+def cite_comparison(compared: DataFrame, entities: DataFrame, pairs: DataFrame, sections: DataFrame, chunks: DataFrame,
+                    documents: DataFrame) -> DataFrame:
+    """``[C1]...`` over all rows of a comparison, with the title of the document cited.
+
+    Measurements that both have, those of the first alone, of the second alone, each by name, side a before
+    side b; then medications, organizations, people and procedures, each first what is gone, then what is new.
+    """
+    kind = F.when(F.col("change_type").isin("unchanged", "changed"), 0).when(F.col("change_type") == "removed", 1).otherwise(2)
+    measured = with_values(compared).join(pairs, "pair_id").select(
+        "pair_id", F.lit(0).alias("grp"), kind.alias("sub"), "key", F.explode(F.array(*(F.struct(
+            F.lit(i).alias("side"), F.col(f"doc_{x}").alias("doc_id"), F.col(x).alias("m"), F.col(f"value_{x}").alias("value"))
+            for i, x in enumerate("ab")))).alias("s")).filter("s.m is not null").select(
+        "pair_id", "grp", "sub", "key", "s.side", "s.doc_id", "s.m.section_idx", "s.m.page_number",
+        F.col("s.m.source_snippet").alias("needle"), F.col("s.value").alias("quote"))
+    order = F.array_position(F.array(*(F.lit(t) for t in COMPARED_TYPES)), F.col("entity_type")).cast("int")
+    terms = _term_rows(pairs, entities).select(
+        "pair_id", order.alias("grp"), F.col("sides").cast("int").alias("sub"), F.col("item").alias("key"), (F.col("sides") - 1).cast("int").alias("side"),
+        "first.doc_id", "first.section_idx", "first.page_number", F.col("first.raw_text").alias("needle"), F.col("item").alias("quote"))
+    placed = place_in_chunks(measured.unionByName(terms).withColumn("quote", F.substring("quote", 1, 200)), sections, chunks)
+    w = W.partitionBy("pair_id").orderBy("grp", "sub", "key", "side")
+    return placed.withColumn("ref", F.concat(F.lit("[C"), F.row_number().over(w).cast("string"), F.lit("]"))).join(
+        documents.select("doc_id", F.col("title").alias("document_title")), "doc_id", "left").select(
+        "pair_id", "ref", "doc_id", "document_title", "chunk_index", "page_number", "quote")
+
+
 def comparison_summary(measured: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """Counts per change type and the sentence that states them, for every pair."""
     rows = measured.select("pair_id", "change_type", F.lit(1).alias("m")).unionAll(
