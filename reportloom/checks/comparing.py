@@ -95,6 +95,21 @@ def _(spark, sf_dir):
     return compared(spark, sf_dir).select("pair_id", "item", "change_type", "change_note")
 
 
+@check("a3_compare_with_tables", with_(_FIRST, """
+SELECT pair_id, coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'removed' WHEN a.key IS NULL THEN 'added'
+  WHEN abs(a.value_num - b.value_num) < 1e-9 THEN 'unchanged' ELSE 'changed' END AS change_type, a.value_raw AS value_a, b.value_raw AS value_b
+FROM (SELECT pair_id, f.key, value_num + 1000 AS value_num, CAST(value_num + 1000 AS VARCHAR) AS value_raw FROM pairs JOIN firsts f ON f.doc_id = doc_a) a
+FULL OUTER JOIN (SELECT pair_id, f.key, value_num + 1000 AS value_num, CAST(value_num + 1000 AS VARCHAR) AS value_raw FROM pairs JOIN firsts f ON f.doc_id = doc_b) b
+USING (pair_id, key)"""))
+def _(spark, sf_dir):
+    """Rows of tables come before lines of text: here every table value is 1000 above the line's."""
+    tables = render.report_tables(spark, sf_dir).withColumn("rows", F.transform("rows", lambda r: F.transform(
+        r, lambda c, i: F.when(i == 1, (c.cast("double") + 1000).cast("string")).otherwise(c))))
+    union = X.union_measurements(X.measurements_from_tables(tables), stored_measurements(spark, sf_dir))
+    rows = A.compare_measurements(pairs(spark, sf_dir), union)
+    return rows.select("pair_id", "key", "change_type", F.col("a.value_raw").alias("value_a"), F.col("b.value_raw").alias("value_b"))
+
+
 @check("a4_format_measurement", with_(_FIRST, f"""
 SELECT pair_id, item, {_VALUE.format(r='ra', u='ua', f='fla')} AS value_a, {_VALUE.format(r='rb', u='ub', f='flb')} AS value_b FROM cmp"""))
 def _(spark, sf_dir):

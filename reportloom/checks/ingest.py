@@ -8,7 +8,7 @@ from reportloom.checks import base as B
 from reportloom.checks.base import NL, trim, with_
 from reportloom.checks.registry import check
 from reportloom.functions import normalize as N, text as T, vocab as V
-from reportloom.operators import chunk as C, extract as X, pages as P, structure as S
+from reportloom.operators import chunk as C, extract as X, lines, pages as P, structure as S
 from reportloom.plans import ingest
 from reportloom.plans.store import materialize, stored
 from reportloom.sources import corpus, files, render
@@ -276,6 +276,13 @@ def _(spark, sf_dir):
     return S.explode_sections(corpus.read_corpus(spark, sf_dir), S.detect_sections(whole)).drop("page_number")
 
 
+@check("t3_sections_by_line", with_(_DOC_SECTIONS, "SELECT doc_id, section_idx, title, kind, text FROM dsec"))
+def _(spark, sf_dir):
+    """The same from a table of lines, in which a document may be spread over tasks."""
+    whole = corpus.read_corpus(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), "text")
+    return lines.sections_of_lines(lines.page_lines(whole)).drop("page_number")
+
+
 @check("t3_report_sections", with_(B.SECTIONS, "SELECT * FROM sec"))
 def _(spark, sf_dir):
     return ingest.sections_of(reports(spark, sf_dir))

@@ -481,8 +481,10 @@ def search_corpus(index: TermIndex, queries: DataFrame, top_k: int = 6, min_vect
             F.lit(0).cast("long").alias("q"), "query_id").schema)
         found = spark.createDataFrame(rows).join(F.broadcast(_before(forward, ready, marks)), ["q", "place"], "left").fillna(
             0, ["rv", "rl"]).join(F.broadcast(names), "q")
-        out.append(found.select("query_id", *(F.col(c).cast(index.forward.schema[c].dataType).alias(c) for c in CHUNK_KEY),
-                                "vec", "lex", F.round(_fused(), 12).alias("fused")))
+        # written block by block: the plan and the driver hold one block's marks, whatever the number of questions
+        out.append(materialize(found.select(
+            "query_id", *(F.col(c).cast(index.forward.schema[c].dataType).alias(c) for c in CHUNK_KEY),
+            "vec", "lex", F.round(_fused(), 12).alias("fused")), "found"))
     if not out:
         out = [asked.join(index.chunks, "scope_id").select(
             "query_id", *CHUNK_KEY, F.lit(0.0).alias("vec"), F.lit(0.0).alias("lex"), F.lit(0.0).alias("fused")).limit(0)]
