@@ -50,7 +50,7 @@ class _WordEncoder:
 
     _MARKS = {bytes([c]): bytes([c]) for c in b".,;:!?"}
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -126,7 +126,7 @@ class _WordEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id",
-           text_col: str = "text", with_ids: bool = False, most_words: int = 500_000, forget: bool = False) -> DataFrame:
+           text_col: str = "text", with_ids: bool = False, most_words: int = 1_200_000, forget: bool = False) -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``; with ``with_ids`` also ``ids``, the packed token ids.
 
     A worker remembers the ids of ``most_words`` words, and keeps them for its next task unless told
