@@ -15,15 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from reportloom.functions.skew import salted_lookup
 from reportloom.operators import chunk as C, extract as X, pages as P, structure as T
 from reportloom.plans import ingest
-from reportloom.plans.store import path_exists
+from reportloom.plans.store import is_folder, path_exists
 from reportloom.sources.files import decode_text, validate_manifest
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stored table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*")
-            .parquet(sf_dir))
+    """A stored table, one file or a folder of part files, as a stream of its files."""
+    table = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(table).schema)
+    if is_folder(spark, table):
+        return reader.parquet(table)
+    # a source lists the files of a folder: the table's own is picked among its neighbours
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def stream_text_files(spark: SparkSession, path: str) -> DataFrame:

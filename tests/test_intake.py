@@ -66,3 +66,20 @@ def test_copies_of_long_ago(spark, tmp_path):
     # files of one stream come in the order Spark lists them: 3 is first unless 0 came before
     assert (got[3, "o"], got[4, "o"], got[0, "o"]) in {(None, 3, 3), (0, 0, None)}
     assert len(got) == len(want) + 6
+
+
+def _folder_table(spark, tmp_path):
+    """``documents`` as a folder of part files, beside a table that is one file and one of a like name."""
+    rows = [(i, TEXT + "More. " * (i % 3), "ab"[i % 2]) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    table.limit(5).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet2")
+    return str(tmp_path), rows
+
+
+def test_a_table_in_a_folder_is_a_stream(spark, tmp_path):
+    sf_dir, rows = _folder_table(spark, tmp_path / "in")
+    out = str(tmp_path / "out")
+    docs = intake.stream_table(spark, sf_dir, "documents").select("doc_id", "text")
+    intake.start_ingest(docs, out, out + "/cp").awaitTermination()
+    assert sorted(r.doc_id for r in intake.read_intake(spark, out, "status").collect()) == [r[0] for r in rows]
