@@ -83,3 +83,11 @@ def test_a_table_in_a_folder_is_a_stream(spark, tmp_path):
     docs = intake.stream_table(spark, sf_dir, "documents").select("doc_id", "text")
     intake.start_ingest(docs, out, out + "/cp").awaitTermination()
     assert sorted(r.doc_id for r in intake.read_intake(spark, out, "status").collect()) == [r[0] for r in rows]
+
+
+def test_copies_of_a_table_in_a_folder(spark, tmp_path):
+    sf_dir, rows = _folder_table(spark, tmp_path / "in")
+    uploads = intake.stream_table(spark, sf_dir, "documents").selectExpr(
+        "source as owner_id", "sha2(text, 256) as sha256", "timestamp_seconds(doc_id + 1700000000) as uploaded_at")
+    done = intake.run_to_table(intake.stream_dedup(uploads, "10000 days"), f"{tmp_path}/rows", f"{tmp_path}/cp")
+    assert done.count() == len({(r[1], r[2]) for r in rows})
