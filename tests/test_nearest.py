@@ -37,6 +37,17 @@ def test_bucketed_search(spark):
     found.unpersist()
 
 
+def test_probes_follow_the_vectors(spark):
+    """Vectors without clusters, in many small buckets: a fixed number of probes finds too little."""
+    points = np.random.default_rng(8).standard_normal((3000, 32))
+    vectors = spark.createDataFrame([(0, i, [float(x) for x in p]) for i, p in enumerate(points)], "scope_id int, vec_id int, embedding array<float>")
+    asked = vectors.filter("vec_id % 50 = 0").selectExpr("vec_id as query_id", "scope_id", "transform(embedding, x -> cast(x as double)) as q")
+    exact = R.dense_topk(asked, vectors).cache()
+    assert N.recall(N.bucketed_topk(asked, vectors, probes=N.PROBES, per_bucket=2), exact).first().recall < 0.9
+    assert N.recall(N.bucketed_topk(asked, vectors, per_bucket=2), exact).first().recall >= 0.9
+    exact.unpersist()
+
+
 def test_medians(spark):
     rng = random.Random(6)
     rows = [("a", rng.choice([1.0, 2.0, 3.0])) for _ in range(101)] + [("b", rng.gauss(0, 1e6)) for _ in range(500)]
