@@ -91,3 +91,12 @@ def test_copies_of_a_table_in_a_folder(spark, tmp_path):
         "source as owner_id", "sha2(text, 256) as sha256", "timestamp_seconds(doc_id + 1700000000) as uploaded_at")
     done = intake.run_to_table(intake.stream_dedup(uploads, "10000 days"), f"{tmp_path}/rows", f"{tmp_path}/cp")
     assert done.count() == len({(r[1], r[2]) for r in rows})
+
+
+def test_a_batch_of_one_file_is_parsed_by_all_cores(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _write(spark, inbox, [(i, TEXT) for i in range(40)])
+    intake.start_ingest(_stream(spark, inbox), out, out + "/cp").awaitTermination()
+    sections = intake.read_intake(spark, out, "sections")
+    assert sections.count() == 80
+    assert len(sections.inputFiles()) >= spark.sparkContext.defaultParallelism > 1
