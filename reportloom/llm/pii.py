@@ -11,15 +11,15 @@ add up to code points.
 anything around an at sign or its spelled form, and any run of seven and more digits with
 separators. Format features (digits, groups, separators, Luhn, octets, ...) and context
 features (what stands before and after) describe each. A gradient-boosted tree model is
-trained on a bounded sample (``fit_rows`` candidates, the least by hash) with the
-base rules as teachers: a candidate that overlaps a base span is positive, any other
-negative, except forms that the rules cannot see (an address with a spelled at sign, a
-phone with area code but no country code): these teach nothing, and their features are
-those of the form that they stand for. On a held-out third, each kind gets the lowest score at
-which at least ``precision`` of the candidates are positive (no threshold without 20
-positives). Candidates at or above it are added, where they don't overlap a base span. The
-trees become ordinary column expressions, so scoring is one projection of the scan: no
-shuffle, no Python.
+trained on all candidates (equal texts count once) with the base rules as teachers: a
+candidate that overlaps a base span is positive, any other negative, except forms that the
+rules cannot see (an address with a spelled at sign, a phone with area code but no country
+code): these teach nothing, and their features are those of the form that they stand for.
+Candidates that look the same are one row with their number as weight. On a held-out
+third, each kind gets the lowest score at which at least ``precision`` of the candidates are
+positive (no threshold without 20 positives). Candidates at or above it are added, where
+they don't overlap a base span. The trees become ordinary column expressions, so scoring is
+one projection of the scan: no shuffle, no Python.
 
 Cases: a null text is empty. Rows stay as they are, repeated and with null ids; an empty
 table gives no rows. Extra columns are not read by ``find``; ``redact`` keeps all columns
@@ -35,6 +35,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportloom.plans.store import discard, materialize
+
 KINDS = ("email", "ip", "card", "phone")
 MARK, PLAIN = "\x01", "\x03"
 _LOCAL = r"A-Za-z0-9._%+\x01-"
@@ -192,32 +194,37 @@ class Model:
         return total
 
 
-def fit(docs: DataFrame, text_col: str = "text", fit_rows: int = 12_000, precision: float = 0.99, trees: int = 12,
-        depth: int = 3) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", precision: float = 0.99, trees: int = 12, depth: int = 3,
+        bins: int = 256) -> Model:
     found = with_candidates(with_base(docs.select(F.col(text_col).alias("_text")), "_text"))
     rows = found.select(F.xxhash64("_plain").alias("_h"), F.explode("_candidates").alias("c")).select(
         F.xxhash64("_h", "c.start", "c.end").alias("_h"), "c.*").filter("label = 1 or not unseen")
     # repeated texts give equal candidates; one of each is enough to learn from
-    few = rows.dropDuplicates(["_h"]).orderBy("_h").limit(fit_rows)
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(few.na.fill(0.0)).select(
-        "kind", "label", "vector", (F.pmod(F.xxhash64("_h"), F.lit(3)) == 0).alias("held")).coalesce(1).cache()
+    each = rows.dropDuplicates(["_h"]).na.fill(0.0).withColumn("held", F.pmod(F.xxhash64("_h"), F.lit(3)) == 0)
+    # candidates that look the same are one row with their number as weight, in a fixed order
+    alike = materialize(each.groupBy("kind", "label", "held", *FEATURES).agg(F.count("*").cast("double").alias("weight")),
+                        "candidates")
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(
+        alike.orderBy("kind", "label", "held", *FEATURES)).select("kind", "label", "vector", "held", "weight").cache()
     try:
         train = table.filter("not held")
         if train.select("label").distinct().count() < 2:
             return Model()
-        trained = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3,
-                                seed=7).fit(train)
+        trained = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth,
+                                stepSize=0.3, maxBins=bins, seed=7).fit(train)
         printed = trained.toDebugString
-        tried = trained.transform(table.filter("held")).select("kind", "label", F.expr("rawPrediction").alias("raw"))
+        tried = trained.transform(table.filter("held")).select("kind", "label", "weight", F.expr("rawPrediction").alias("raw"))
         from pyspark.ml.functions import vector_to_array
-        tried = tried.select("kind", "label", (vector_to_array("raw")[1] / 1.0).alias("score"))
+        tried = tried.select("kind", "label", "weight", (vector_to_array("raw")[1] / 1.0).alias("score"))
         down = Window.partitionBy("kind").orderBy(F.desc("score"))
-        runs = tried.groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count("*").alias("n")).select(
+        runs = tried.groupBy("kind", "score").agg(
+            F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).select(
             "kind", "score", F.sum("good").over(down).alias("good"), F.sum("n").over(down).alias("n"))
         cut = runs.filter((F.col("good") >= precision * F.col("n")) & (F.col("good") >= 20))
         return Model(printed, {r.kind: r.score for r in cut.groupBy("kind").agg(F.min("score").alias("score")).collect()})
     finally:
         table.unpersist()
+        discard(alike)
 
 
 def _ranked(kind: str) -> Column:
