@@ -144,9 +144,15 @@ def start_uploads(uploads: DataFrame, out: str, checkpoint: str):
     return _each_batch(uploads, out, checkpoint, tables_of)
 
 
-def stream_dedup(files: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First upload of a content per owner; later copies inside the delay are dropped."""
-    return files.withWatermark("uploaded_at", delay).dropDuplicatesWithinWatermark(["owner_id", "sha256"])
+def stream_dedup(files: DataFrame, delay: str | None = "1 day") -> DataFrame:
+    """First upload of a content per owner; later copies inside the delay are dropped, all of them without a delay.
+
+    With a delay, uploads that the watermark has passed are dropped as late, those before 1970 always.
+    """
+    keys = ["owner_id", "sha256"]
+    if delay is None:
+        return files.dropDuplicates(keys)
+    return files.withWatermark("uploaded_at", delay).dropDuplicatesWithinWatermark(keys)
 
 
 def rate_violations(events: DataFrame, per_minute: int, delay: str = "10 minutes") -> DataFrame:

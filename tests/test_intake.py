@@ -100,3 +100,19 @@ def test_a_batch_of_one_file_is_parsed_by_all_cores(spark, tmp_path):
     sections = intake.read_intake(spark, out, "sections")
     assert sections.count() == 80
     assert len(sections.inputFiles()) >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_no_upload_is_too_late_without_a_delay(spark, tmp_path):
+    from reportloom.checks.registry import QUERIES
+    import reportloom.checks.operations  # noqa: F401  (registers the query)
+    ids = [-2_000_000_000, 1, 2, 10**9, 10**10, None]
+    rows = [(i, f"text {k // 2}", "s") for k, i in enumerate(ids)] + [(5, None, None), (6, None, None), (-2_000_000_001, "early", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["w2_stream_dedup"](spark, str(tmp_path)).collect()
+    assert len(got) == len({(r.owner_id, r.sha256) for r in got}) == 5
+    one = str(tmp_path / "one")
+    _write(spark, one, [(-2_000_000_000, "a"), (1, "b")])
+    _write(spark, one, [(10**10, "a"), (2, "c")])
+    uploads = _stream(spark, one).selectExpr("'o' as owner_id", "text as sha256", "timestamp_seconds(doc_id + 1700000000) as uploaded_at")
+    done = intake.run_to_table(intake.stream_dedup(uploads, None), f"{tmp_path}/rows", f"{tmp_path}/cp")
+    assert sorted(r.sha256 for r in done.collect()) == ["a", "b", "c"]
