@@ -29,3 +29,18 @@ def test_rows_and_arrays(spark):
     assert len(want) > 100 and doses.keys() == want.keys()
     # white space ends a snippet's sides; the control character is no white space
     assert all(doses[k] == want[k].strip(" \t\r\n") for k in want)
+
+
+def test_plain_texts_in_batches_and_by_columns(spark):
+    rng = random.Random(11)
+    words = ["2024-03-05", "12024-03-05", "13/4/2024", "3/45/2024", "2/3/1899", "31-12-2023", "1-2-34", "2024-13-99", "march 5 2024", "May 5,2024",
+             "MARCHES 5 2024", "Metformin", "xmetforminx", "ferrous sulfate", "ferrous", "co-omeprazole", "azole", "b-lisinopril-x", "10mg", "1.5 mcg",
+             "3. g", "2 UNITS", "5 iu", "7 mgx", "9_mg", "_9 mg", "a9 mg", "120/80", "120 / 80 mm Hg", "1200/80", "12/34/2024", "37.2 degrees c", "101f",
+             "98 Celsius", "98.6", "1234 c", "deg", "Mercy General Clinic", "St. Mary's Hospital", "Labs", "Health System", "health system", "Laboratory",
+             "Dr. Ada Moss", "Dr Ada", "dr. ada", "Dr", "BP", "5bp", "bp5", "bp-er", "ER.", "erx", "x-po", "po_", "\n", " ", "-", "/", "x" * 70, ".", ","]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "", "\n", ", "]) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, i % 3, 1, t) for i, t in enumerate(texts)], "doc_id long, section_idx int, page_number int, text string")
+    plan = X.extract_entities(rows)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan
+    got, want = (sorted(map(str, f.collect())) for f in (X.extract_entities(rows), X.extract_entities(rows, list(X.ALL_RULES))))
+    assert len(want) > 10000 and got == want
