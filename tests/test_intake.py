@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import DataFrameWriter
 
+from pyspark.sql import functions as F
+
 from reportloom.streaming import intake
 
 TEXT = "Labs\nSodium: 138 mmol/L\nNotes\nSeen by Dr. Ann Lee on 2024-01-02.\n"
@@ -116,3 +118,15 @@ def test_no_upload_is_too_late_without_a_delay(spark, tmp_path):
     uploads = _stream(spark, one).selectExpr("'o' as owner_id", "text as sha256", "timestamp_seconds(doc_id + 1700000000) as uploaded_at")
     done = intake.run_to_table(intake.stream_dedup(uploads, None), f"{tmp_path}/rows", f"{tmp_path}/cp")
     assert sorted(r.sha256 for r in done.collect()) == ["a", "b", "c"]
+
+
+def test_intake_cuts_plain_reports_in_batches_as_the_columns_do(spark):
+    from reportloom.operators import chunk as C
+    from reportloom.plans import ingest
+    texts = [TEXT, TEXT + "Labs\nSodium: 3 mmol/L\n1 / 2", "Élan\n\nLabs\nSodium: 3", "a  b", "", None, "12", "x" * 4000 + "\n\nLabs\nx", "tiny"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = ingest.prepare_batch(rows)
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
+    got = {r.doc_id: (r.pages, r.gate, r.sections, r.chunks) for r in made.collect()}
+    columns = ingest.prepare(rows).select("doc_id", "body", C.document_chunks(F.col("body.sections")).alias("chunks"))
+    assert got == {r.doc_id: (r.body.pages, r.body.gate, r.body.sections, r.chunks) for r in columns.collect()}
